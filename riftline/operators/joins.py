@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.folds import col
@@ -14,32 +14,38 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 1000
 
 
+def hot_keys(rows: DataFrame, *, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The keys with more than ``hot_rows`` rows and the number of slices for each; the 1000 largest."""
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+    return (
+        counts.filter(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"), *on)
+        .limit(HOT_KEYS)
+        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
+    )
+
+
 def split_hot_join(
     rows: DataFrame,
     other: DataFrame,
     *,
     on: Sequence[str],
     how: str = "inner",
-    spread: Column | None = None,
+    hot: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Equality join in which a key with very many ``rows`` is cut into slices.
 
-    The slices of ``rows`` are dealt out by ``spread`` and the matching ``other`` rows are repeated
-    once per slice. At most 1000 keys, the largest, are sliced, so the broadcast table that names
-    them is bounded; every other key joins unsliced.
+    The slices of ``rows`` are dealt out by a hash of the row and the matching ``other`` rows are
+    repeated once per slice. ``hot`` names the keys to slice; it is counted from ``rows`` if it is not
+    given, which reads them a second time. At most 1000 keys are sliced, so the broadcast table that
+    names them is bounded; every other key joins unsliced.
     """
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    hot = (
-        counts.filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
-    )
-    deal = F.xxhash64(*[col(c) for c in rows.columns]) if spread is None else spread
+    named = F.broadcast(hot_keys(rows, on=on, hot_rows=hot_rows) if hot is None else hot)
     many = F.coalesce(F.col("_slices"), F.lit(1))
-    dealt = rows.join(F.broadcast(hot), list(on), "left").withColumn("_slice", F.pmod(deal, many).cast("int"))
-    repeated = other.join(F.broadcast(hot), list(on), "left").withColumn(
+    deal = F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[col(c) for c in rows.columns]), many))
+    dealt = rows.join(named, list(on), "left").withColumn("_slice", deal.cast("int"))
+    repeated = other.join(named, list(on), "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), many - 1))
     )
     return dealt.drop("_slices").join(repeated.drop("_slices"), [*on, "_slice"], how).drop("_slice")
@@ -120,27 +126,36 @@ def metric_delta(
 
 
 def attach_commit_info(
-    rows: DataFrame, commits: DataFrame, *, key: str, order: Sequence[str], hot_rows: int = HOT_ROWS
+    rows: DataFrame, commits: DataFrame, *, key: str, order: Sequence[str], hot_rows: int | None = None
 ) -> DataFrame:
-    """Commit columns on every class row; a commit given twice counts once."""
+    """Commit columns on every class row; a commit given twice counts once.
+
+    The adaptive skew join splits a commit with very many rows; ``hot_rows`` slices it ahead of time.
+    """
     single = one_per_key(commits, keys=[key], order=order)
-    return split_hot_join(rows, single, on=[key], hot_rows=hot_rows)
+    if hot_rows:
+        return split_hot_join(rows, single, on=[key], hot_rows=hot_rows)
+    return rows.join(single, key)
 
 
-def missing_file_policy(pairs: DataFrame, metrics: DataFrame, *, mode: str = "skip") -> DataFrame:
+def missing_file_policy(
+    pairs: DataFrame, metrics: DataFrame, *, mode: str = "skip", check_current: bool = True
+) -> DataFrame:
     """Apply the rule for a changed file that the commit or its parent lacks.
 
     ``pairs`` holds unique ``(hash, parent, file)`` and ``metrics`` the class rows per
-    ``(hash, file)``. ``skip`` keeps pairs with the file on both sides. ``zero`` keeps every pair
-    whose commits were both analysed; a row of zeros stands in for the missing file. The added
-    ``held`` tells whether the commit itself has the file.
+    ``(hash, file)``. ``skip`` keeps pairs with the file on both sides; a caller that goes on to join
+    the current file may leave out the check for it. ``zero`` keeps every pair whose commits were both
+    analysed, as a row of zeros stands in for the missing file; the added ``held`` tells whether the
+    commit itself has the file.
     """
     if mode not in ("skip", "zero"):
         raise ValueError("mode must be 'skip' or 'zero'")
     files = metrics.select("hash", "file").distinct()
-    older = files.withColumnRenamed("hash", "parent")
     if mode == "skip":
-        kept = pairs.join(files, ["hash", "file"], "left_semi").join(older, ["parent", "file"], "left_semi")
+        kept = pairs.join(files.withColumnRenamed("hash", "parent"), ["parent", "file"], "left_semi")
+        if check_current:
+            kept = kept.join(files, ["hash", "file"], "left_semi")
         return kept.select(*pairs.columns, F.lit(True).alias("held"))
     commits = metrics.select("hash").distinct()
     analysed = pairs.join(commits, "hash", "left_semi").join(

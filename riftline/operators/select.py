@@ -18,13 +18,14 @@ from riftline.operators.models import (
     fit_random_forest,
 )
 from riftline.operators.vectors import features_array, partial_sums
+from riftline.schemas import quoted
 
 FLAT = 1e-12
 
 
 def _means(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
     """Column means, used to centre the sums so that large values do not cancel."""
-    row = df.agg(*[F.avg(col(c).cast("double")).alias(f"m{n}") for n, c in enumerate(cols)]).first()
+    row = df.selectExpr(*[f"avg(cast({quoted(c)} as double)) AS m{n}" for n, c in enumerate(cols)]).first()
     return np.array([v if v is not None else 0.0 for v in row], dtype="float64")
 
 

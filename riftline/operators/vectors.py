@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riftline.functions.folds import col
+from riftline.schemas import quoted
 
 
 def features_array(cols: Sequence[str]) -> Column:
-    return F.array(*[col(c).cast("double") for c in cols])
+    return F.expr("array(" + ", ".join(f"cast({quoted(c)} as double)" for c in cols) + ")")
 
 
 def matrix_of(column: pa.Array | pa.ChunkedArray) -> np.ndarray:

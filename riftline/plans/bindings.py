@@ -6,7 +6,6 @@ Each view is one SQL text that Spark and the oracle both run: ``{table}`` stands
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from riftline.session import ENGINE_CONF
 
@@ -121,7 +120,7 @@ class Data:
     def features(self) -> DataFrame:
         """Embeddings with one column per dimension."""
         rows = self.view(EMBEDDED)
-        return rows.select("id", "pos", "label", *[F.col("features")[n].alias(c) for n, c in enumerate(DIMS)])
+        return rows.selectExpr("id", "pos", "label", *[f"features[{n}] AS {c}" for n, c in enumerate(DIMS)])
 
     def indexed_events(self) -> DataFrame:
         return self.view(SCORED)

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.columns import is_source_file, parse_list_string
+from riftline.functions.folds import col
 from riftline.operators.joins import (
-    attach_commit_info,
     commit_parent,
+    hot_keys,
     metric_delta,
     missing_file_policy,
     one_per_key,
     split_hot_join,
 )
+from riftline.schemas import delta
 
 
 def merge_changes(
@@ -26,34 +29,46 @@ def merge_changes(
     metric_names: Sequence[str],
     missing_file: str = "skip",
     files: str = "fileschanged",
-    state: Sequence[str] = ("class",),
+    unique: bool = False,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """One row per commit, changed source file and class.
 
     ``commits`` has ``hash`` and the delimited ``files`` text, ``history`` has ``seq, hash`` with the
-    newest first, ``metrics`` has ``hash, file, class`` and the metric columns. Filters sit right at
-    the scans; the class-level join runs on the unique key ``(hash, file, class)``, which no hot
-    commit can skew.
+    newest first, ``metrics`` has ``hash, file, class`` and the metric columns. ``unique`` promises one
+    row per commit and per class; without it copies are dropped first.
+
+    The commit columns ride on the exploded file list, so they need no join of their own. Metrics meet
+    the changed files twice, as the commit's and as its parent's, on the same key; classes then meet on
+    ``(hash, file, class)``, which is unique and so cannot be skewed. A file with very many classes is
+    split by the adaptive skew join; ``hot_rows`` slices it ahead of time where that is switched off.
     """
-    parents = commit_parent(history).filter(F.col("parent").isNotNull())
-    changed = (
-        commits.select("hash", F.explode(F.array_distinct(parse_list_string(F.col(files)))).alias("file"))
+    if not unique:
+        commits = one_per_key(commits, keys=["hash"], order=[c for c in commits.columns if c != "hash"])
+        state = [c for c in metrics.columns if c not in ("hash", "file", "class")]
+        metrics = one_per_key(metrics, keys=["hash", "file", "class"], order=state)
+    parents = commit_parent(history).filter(F.col("parent").isNotNull()).select("hash", "parent")
+    info = [c for c in commits.columns if c not in ("hash", files)]
+    pairs = (
+        commits.join(parents, "hash")
+        .select("hash", "parent", *[col(c) for c in info], F.explode(F.array_distinct(parse_list_string(col(files)))).alias("file"))
         .filter(is_source_file(F.col("file")))
-        .distinct()
     )
-    pairs = changed.join(parents.select("hash", "parent"), "hash")
-    usable = missing_file_policy(pairs, metrics, mode=missing_file)
-    keys = ["hash", "file", "class"]
-    unique = one_per_key(metrics, keys=keys, order=[*state, *metric_names])
-    present = usable.filter("held").drop("held")
-    current = split_hot_join(unique, present, on=["hash", "file"])
-    before = unique.select(F.col("hash").alias("parent"), "file", "class", *[F.col(f"`{m}`") for m in metric_names])
-    rows = metric_delta(current, before, keys=["parent", "file", "class"], metrics=metric_names)
+    usable = missing_file_policy(pairs, metrics, mode=missing_file, check_current=False)
+    present = usable.filter("held").drop("held") if missing_file == "zero" else usable.drop("held")
+    if hot_rows:
+        join = partial(split_hot_join, on=["hash", "file"], hot=hot_keys(metrics, on=["hash", "file"], hot_rows=hot_rows))
+    else:
+        join = partial(DataFrame.join, on=["hash", "file"])
+    current = join(metrics, present)
+    older = present.select(F.col("parent").alias("hash"), "file", F.col("hash").alias("_child"))
+    before = join(metrics, older).drop("hash").withColumnRenamed("_child", "hash")
+    rows = metric_delta(current, before, keys=["hash", "file", "class"], metrics=metric_names)
+    measured = [*metric_names, *[delta(m) for m in metric_names]]
     if missing_file == "zero":
         # A file the commit no longer has counts as one class named 0 whose metrics are all 0.
         gone = usable.filter(~F.col("held")).drop("held")
-        named = {c.name: c.dataType for c in rows.schema}
-        zeros = {c: F.lit(0).cast(t).alias(c) for c, t in named.items() if c not in gone.columns}
-        rows = rows.unionByName(gone.select("*", *zeros.values()))
-    info = commits.drop(files)
-    return attach_commit_info(rows, info, key="hash", order=[c for c in info.columns if c != "hash"])
+        zeros = [F.lit(0).cast(rows.schema[c].dataType).alias(c) for c in rows.columns if c not in gone.columns]
+        rows = rows.unionByName(gone.select("*", *zeros))
+    others = [c for c in rows.columns if c not in {"hash", "parent", "file", "class", *measured, *info}]
+    return rows.select("hash", "parent", "file", "class", *[col(c) for c in [*others, *measured, *info]])

@@ -349,7 +349,7 @@ def missing_file_policy(d: Data) -> DataFrame:
 
 def _merged(d: Data, mode: str) -> DataFrame:
     return merge_changes(
-        d.view(B.COMMITS), d.view(B.HISTORY), d.view(B.METRICS), metric_names=METRIC_NAMES, missing_file=mode
+        d.view(B.COMMITS), d.view(B.HISTORY), d.view(B.METRICS), metric_names=METRIC_NAMES, missing_file=mode, unique=True
     )
 
 
@@ -787,7 +787,7 @@ def train_evaluate_projects(d: Data) -> DataFrame:
     features = ["la", "ld", "wmc", "rfc", "cbo", "loc", "d_wmc", "d_loc", "d_totalMethodsQty"]
     config = RunConfig(
         features=features, model="logistic", folds=2, trials=1, n_features=4, delay=100, frequency=500,
-        space={"regParam": models._log(0.001, 0.1)},
+        space={"regParam": models._log(0.001, 0.1), "maxIter": models._whole(20, 20)},
         clean=clean.CleanConfig(
             project="project", tie=("hash", "file", "part"), features=features,
             info=["id", "file", "class", "type", "part", "author_date_unix_timestamp", "author"],

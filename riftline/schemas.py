@@ -65,7 +65,7 @@ def change_columns() -> list[str]:
 
 def quoted(name: str) -> str:
     """A column name as an expression; one metric holds a ``*``."""
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
 
 
 COMMITS = T.StructType(
