@@ -7,9 +7,7 @@ import random
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import partial
-from multiprocessing.pool import ThreadPool
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     GBTClassifier,
@@ -158,7 +156,7 @@ def _poisson(rate: float, draw: Column, most: int = 12) -> Column:
 
 def fit_balanced_forest(
     train: DataFrame, *, cols: Sequence[str], label: str, key: str, trees: int = 100, seed: int = 42,
-    parallelism: int = 4, **params,
+    **params,
 ) -> Fitted:
     """Trees on class-balanced bootstraps.
 
@@ -180,9 +178,7 @@ def fit_balanced_forest(
         return estimator.fit(rows.withColumn("_w", weight).filter("_w > 0"))
 
     try:
-        # Several fits wait on the cluster at once, as in the cross-validator.
-        with ThreadPool(parallelism) as pool:
-            fitted = pool.map(inheritable_thread_target(rows.sparkSession)(grow), range(trees))
+        fitted = [grow(tree) for tree in range(trees)]
     finally:
         rows.unpersist()
     return Fitted(AveragedTrees(fitted), list(cols))

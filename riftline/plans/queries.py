@@ -793,7 +793,8 @@ def train_evaluate_projects(d: Data) -> DataFrame:
             info=["id", "file", "class", "type", "part", "author_date_unix_timestamp", "author"],
         ),
     )
-    return train_evaluate(d.view(B.CHANGES), config=config).report
+    changes = d.view(B.CHANGES).withColumn("project", F.col("part"))
+    return train_evaluate(changes, config=config).report
 
 
 # ---------------------------------------------------------------- delayed labels

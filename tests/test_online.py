@@ -129,7 +129,8 @@ def test_live_model(spark, timeline, tmp_path, parts):
     assert out.count() == 160 and out.select("batch").distinct().count() == parts
     assert {r.score for r in out.filter("batch = 0").select("score").distinct().collect()} == {0.5}
     before = spark.read.parquet(str(tmp_path / "live/weights/batch=0")).first()
-    live._learn(out.filter("batch = 0").select("id", "y", "a", "b"), 0)
+    first = [r.id for r in out.filter("batch = 0").collect()]
+    live._learn(timeline.filter(F.col("id").isin(first)), 0)
     assert np.allclose(spark.read.parquet(str(tmp_path / "live/weights/batch=0")).first().weights, before.weights)
 
 
