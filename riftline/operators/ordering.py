@@ -122,6 +122,7 @@ def with_next(
 # ---------------------------------------------------------------- order statistics by counting
 
 _CELLS = 4096
+_FEW = 10_000
 
 
 def as_long(name: str, kind: T.DataType) -> Column | None:
@@ -135,49 +136,46 @@ def as_long(name: str, kind: T.DataType) -> Column | None:
     return None
 
 
-def _select_long(df: DataFrame, value: Column, k: int) -> tuple[int, int]:
-    """The value at 0-based rank ``k`` and how many rows are below it, by refining counts.
-
-    Each pass counts at most 4096 cells, so nothing that grows with the data reaches the driver.
-    """
-    low, high = df.agg(F.min(value), F.max(value)).first()
-    below = 0
-    while low < high:
-        width = -(-(high - low + 1) // _CELLS)
-        cell = F.call_function("div", value.cast("decimal(20,0)") - F.lit(low), F.lit(width))
-        counted = (
-            df.filter((value >= F.lit(low)) & (value <= F.lit(high)))
-            .groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-            .orderBy("cell").collect()
-        )
-        for row in counted:
-            if below + row.n > k:
-                low, high = low + row.cell * width, min(high, low + (row.cell + 1) * width - 1)
-                break
-            below += row.n
-    return low, below
+def _cell_counts(rows: DataFrame, value: Column, low: int, width: int) -> list:
+    cell = F.call_function("div", value.cast("decimal(20,0)") - F.lit(low), F.lit(width))
+    return rows.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).orderBy("cell").collect()
 
 
 def split_at_rank(df: DataFrame, order: Sequence[str], k: int) -> Column:
     """Predicate that is true for the rows at rank ``k`` and later; the rows themselves never move.
 
-    All order columns need an integer image. Refining the cut takes a few narrow counting passes in
-    place of a sort of the whole table.
+    All order columns need an integer image, and missing values sort last. The row at rank ``k`` is
+    found by counting ever smaller value ranges: a pass brings at most 4096 counts to the driver, and
+    once at most 10,000 rows are left in the range they are looked at directly. A few narrow passes take
+    the place of a sort; an input that is costly to compute is best materialised before.
     """
     images = [as_long(c, df.schema[c].dataType) for c in order]
     if any(image is None for image in images):
         raise TypeError("order columns must be integers, dates or timestamps")
-    images = [F.coalesce(image, F.lit((1 << 63) - 1)) for image in images]  # missing sorts last
+    images = [F.coalesce(image, F.lit((1 << 63) - 1)) for image in images]
     rest, cut = df, []
-    for image in images:
-        value, below = _select_long(rest, image, k)
-        cut.append((image, F.lit(value)))
-        rest = rest.filter(image == F.lit(value))
-        k -= below
-    last, bound = cut.pop()
-    later = last >= bound
-    for image, bound in reversed(cut):
-        later = (image > bound) | ((image == bound) & later)
+    while len(cut) < len(images):
+        image = images[len(cut)]
+        low, high, n = rest.agg(F.min(image), F.max(image), F.count(F.lit(1))).first()
+        if k >= n:
+            return F.lit(False)
+        while low < high and n > _FEW:
+            width = -(-(high - low + 1) // _CELLS)
+            for row in _cell_counts(rest, image, low, width):
+                if k < row.n:
+                    low, high, n = low + row.cell * width, min(high, low + (row.cell + 1) * width - 1), row.n
+                    break
+                k -= row.n
+            rest = rest.filter((image >= F.lit(low)) & (image <= F.lit(high)))
+        if n <= _FEW:
+            left = images[len(cut):]
+            few = rest.select(*[c.alias(f"v{at}") for at, c in enumerate(left)]).collect()
+            cut += sorted(tuple(r) for r in few)[k]
+        else:
+            cut.append(low)
+    later = images[-1] >= F.lit(cut[-1])
+    for image, value in reversed(list(zip(images, cut))[:-1]):
+        later = (image > F.lit(value)) | ((image == F.lit(value)) & later)
     return later
 
 

@@ -18,7 +18,7 @@ from riftline.plans import bindings as B
 from riftline.plans.bindings import DIMS, DOC_COLS, METRIC_NAMES, Data
 from riftline.plans.changes import merge_changes
 from riftline.plans.training import RunConfig, train_evaluate
-from riftline.session import ensure_checkpoint_dir
+from riftline.session import ensure_checkpoint_dir, freeze
 from riftline.sources import tables as S
 from riftline.streaming.live import LiveLogistic, delayed_label_stream
 
@@ -544,10 +544,11 @@ def split_by_date(d: Data) -> DataFrame:
 
 
 def _dated_changes(d: Data) -> tuple[DataFrame, DataFrame]:
-    dated = split.split_by_date(
-        d.view(B.CHANGES).select("id", "author_date_unix_timestamp", "loc", "rfc", "ld", F.lit(7.0).alias("flat")),
-        ts="author_date_unix_timestamp", tie="id",
+    # The view is read in several passes, and computing it is the costly part.
+    changes = freeze(
+        d.view(B.CHANGES).select("id", "author_date_unix_timestamp", "loc", "rfc", "ld", F.lit(7.0).alias("flat"))
     )
+    dated = split.split_by_date(changes, ts="author_date_unix_timestamp", tie="id")
     return dated.filter("NOT is_test"), dated.filter("is_test")
 
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from riftline.operators import ordering
 from riftline.operators.ordering import (
     hash_rank,
     running_totals,
@@ -40,8 +41,10 @@ def test_global_index(events, spark, parts):
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
 
 
+@pytest.mark.parametrize("few", [10, 10_000])
 @pytest.mark.parametrize("k", [0, 1, 2500, 5999])
-def test_split_at_rank(events, k):
+def test_split_at_rank(events, monkeypatch, k, few):
+    monkeypatch.setattr(ordering, "_FEW", few)
     assert events.filter(split_at_rank(events, ["t", "id"], k)).count() == 6000 - k
 
 
