@@ -184,10 +184,10 @@ def split_at_rank(df: DataFrame, order: Sequence[str], k: int) -> Column:
 def hash_rank(df: DataFrame, draw: str, tie: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """Dense 0-based rank by a 64-bit hash column inside each group.
 
-    A hash is uniform, so 1024 equal slices of its range hold equal shares of any group: the windows
+    A hash is uniform, so 65,536 equal slices of its range hold equal shares of any group: the windows
     stay small, and the table of slice offsets is bounded by slices times groups.
     """
-    cut = df.withColumn("_slice", F.shiftright(draw, 54))
+    cut = df.withColumn("_slice", F.shiftright(draw, 48))
     counts = cut.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     keys = ["_slice", *by]

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from riftline.functions.columns import bucket_by_width, is_source_file
 from riftline.functions.folds import col, fold_sum, uniform
+from riftline.operators.ordering import as_long, split_at_rank
 
 
 def source_file_filter(
@@ -79,9 +80,20 @@ def ensure_columns(df: DataFrame, cols: Sequence[str], *, kind: str = "double")
     return df.withColumns({c: F.lit(None).cast(kind) for c in cols if c not in have})
 
 
-def sample_fraction(df: DataFrame, *, key: str, fraction: float, seed: int = 42) -> DataFrame:
-    """A sample chosen by hash of the key: the same rows whatever the partitioning."""
-    return df.filter(uniform(F.col(key), F.lit(seed)) < fraction)
+def sample_fraction(
+    df: DataFrame, *, key: str, fraction: float, seed: int = 42, exact: bool = True, draw: str | None = None
+) -> DataFrame:
+    """A sample chosen by hash of the key: the same rows whatever the partitioning.
+
+    The exact form takes ``round(fraction * n)`` rows, the lowest in hash order, and finds their cut by
+    counting; the other form only filters, so its size varies.
+    """
+    if not exact:
+        return df.filter(uniform(F.col(key), F.lit(seed)) < fraction)
+    drawn = df.withColumn("_draw", col(draw) if draw else F.xxhash64(col(key), F.lit(seed)))
+    tie = [key] if as_long(key, df.schema[key].dataType) is not None else []
+    rest = split_at_rank(drawn, ["_draw", *tie], round(fraction * df.count()))
+    return drawn.filter(~rest).drop("_draw")
 
 
 def limit_rows(df: DataFrame, *, order: Sequence[Column | str], n: int) -> DataFrame:

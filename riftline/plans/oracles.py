@@ -109,6 +109,9 @@ def _projections() -> dict[str, str]:
         "null_count_row": f"SELECT l_orderkey, l_partkey, CAST({HOLES} AS INTEGER) AS n_null FROM ({HOLED})",
         "project_columns": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
         "ensure_columns": 'SELECT *, CAST(NULL AS DOUBLE) AS wmc, CAST(NULL AS DOUBLE) AS "lcom*" FROM supplier',
+        "sample_fraction": """
+            SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (ORDER BY (o_orderkey * 7919 + o_custkey) % 10007, o_orderkey) AS k,
+              count(*) OVER () AS n FROM orders) WHERE k <= round(0.1E0 * n)""",
         "limit_rows": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10",
         "derived_columns": """
             SELECT c_custkey, c_acctbal, c_acctbal < 0 AS debt, abs(c_acctbal) AS size, c_acctbal < 0 AND abs(c_acctbal) > 500 AS both FROM customer""",

@@ -253,7 +253,8 @@ def ensure_columns(d: Data) -> DataFrame:
 
 @query
 def sample_fraction(d: Data) -> DataFrame:
-    return rows.sample_fraction(d.orders, key="o_orderkey", fraction=0.1)
+    drawn = d.orders.select("o_orderkey", "o_custkey", F.pmod(F.col("o_orderkey") * 7919 + F.col("o_custkey"), F.lit(10007)).alias("draw"))
+    return rows.sample_fraction(drawn, key="o_orderkey", fraction=0.1, draw="draw").drop("draw")
 
 
 @query

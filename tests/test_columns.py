@@ -84,7 +84,8 @@ def test_derived_columns(frame):
 
 def test_sample_survives_repartitioning(spark):
     df = spark.range(5000)
-    a = rows.sample_fraction(df, key="id", fraction=0.2)
-    b = rows.sample_fraction(df.repartition(7), key="id", fraction=0.2)
-    assert {r.id for r in a.collect()} == {r.id for r in b.collect()}
-    assert 850 < a.count() < 1150
+    for exact in (True, False):
+        a = rows.sample_fraction(df, key="id", fraction=0.2, exact=exact)
+        b = rows.sample_fraction(df.repartition(7), key="id", fraction=0.2, exact=exact)
+        assert {r.id for r in a.collect()} == {r.id for r in b.collect()}
+        assert a.count() == 1000 if exact else 850 < a.count() < 1150

@@ -105,6 +105,8 @@ def test_prequential(timeline):
     out = online.prequential_logistic(timeline, order=["id"], cols=["a", "b"], label="y", k=3, batch=20, rate=0.5)
     scores = [r.score for r in out.orderBy("fold").collect()]
     assert len(scores) == 3 and min(scores) > 0.7
+    best, score = online.tune_prequential(timeline, trials=2, order=["id"], cols=["a", "b"], label="y", k=2, batch=40)
+    assert set(best) == {"rate", "l2"} and score > 0.5
     with pytest.raises(ValueError):
         online.prequential_logistic(timeline, order=["id"], cols=["a"], label="y", k=20)
 
