@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,23 +210,31 @@ def _steps(config: CleanConfig) -> dict:
     }
 
 
-def clean_dataset(df: DataFrame, *, config: CleanConfig = CleanConfig(), observe: dict | None = None) -> DataFrame:
-    """The rules in the configured order.
-
-    With ``observe`` the row count after each rule is measured inside the job: the dictionary
-    receives one observation per rule, to be read after an action.
-    """
-    from pyspark.sql import Observation
-
+def clean_dataset(df: DataFrame, *, config: CleanConfig = CleanConfig()) -> DataFrame:
+    """The rules in the configured order."""
     steps = _steps(config)
     for number in config.rules:
         df = steps[number](df)
-        if observe is not None:
-            observe[number] = Observation(f"rule_{number}")
-            df = df.observe(observe[number], F.count(F.lit(1)).alias("rows"))
     return df
 
 
+def clean_counts(df: DataFrame, *, config: CleanConfig = CleanConfig()) -> DataFrame:
+    """Rows before the first and after each rule, with how many the rule dropped.
+
+    One count per step in one job; steps up to the same shuffle share it.
+    """
+    steps = _steps(config)
+    counts = [df.agg(F.lit(0).alias("step"), F.lit(None).cast("int").alias("rule"), F.count(F.lit(1)).alias("rows"))]
+    for at, number in enumerate(config.rules, 1):
+        df = steps[number](df)
+        counts.append(df.agg(F.lit(at).alias("step"), F.lit(number).alias("rule"), F.count(F.lit(1)).alias("rows")))
+    table = reduce(DataFrame.unionByName, counts)
+    before = table.select((F.col("step") + 1).alias("step"), F.col("rows").alias("_before"))
+    return table.join(before, "step", "left").select(
+        "step", "rule", "rows", (F.col("_before") - F.col("rows")).alias("dropped")
+    )
+
+
 def clean_features_labels(
     df: DataFrame, *, features: Sequence[str], label: str = LABEL, config: CleanConfig = CleanConfig()
 ) -> DataFrame:

@@ -276,6 +276,15 @@ def _cleaning() -> dict[str, str]:
     chain = f"SELECT * FROM ({_recent(deduped, 'project', down, 200 * DAY)}) WHERE " + " AND ".join(f"({c})" for c in KEEP.values())
     out["clean_dataset"] = f"SELECT {key}, project FROM ({chain})"
     out["clean_features_labels"] = f"SELECT id, la, ld, wmc, cbo, contains_bug FROM ({chain})"
+    last = _recent(deduped, "project", down, 200 * DAY)
+    stages = [("NULL", CHANGES), ("0", deduped), ("2", last)]
+    numbers = [3, 4, 5, 6, 7, 8, 9, 10, 11]
+    for n in range(len(KEEP)):
+        held = " AND ".join(f"({c})" for c in list(KEEP.values())[: n + 1])
+        stages.append((str(numbers[n]), f"SELECT * FROM ({last}) WHERE {held}"))
+    counts = " UNION ALL ".join(f"SELECT {n} AS step, CAST({r} AS INTEGER) AS rule, count(*) AS rows FROM ({t})" for n, (r, t) in enumerate(stages))
+    out["clean_counts"] = f"""
+        SELECT CAST(step AS INTEGER) AS step, rule, rows, lag(rows) OVER (ORDER BY step) - rows AS dropped FROM ({counts})"""
     first = "arg_min({c}, id)"
     out["cluster_aggregate"] = f"""
         SELECT project, author, min(id) AS id, {first.format(c="file")} AS file, {_r("avg(wmc)")} AS wmc, {_r("avg(rfc)")} AS rfc,

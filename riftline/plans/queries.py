@@ -524,6 +524,11 @@ def clean_dataset(d: Data) -> DataFrame:
     return clean.clean_dataset(d.view(B.CHANGES), config=CLEAN).select(*KEY, "part", "project")
 
 
+@query
+def clean_counts(d: Data) -> DataFrame:
+    return clean.clean_counts(d.view(B.CHANGES), config=CLEAN)
+
+
 @query
 def clean_features_labels(d: Data) -> DataFrame:
     return clean.clean_features_labels(

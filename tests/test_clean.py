@@ -71,12 +71,10 @@ def test_dedupe_counts_nan_as_missing(frame):
 
 def test_dataset_chain_counts(frame):
     df = frame([(0, 0.0, 1.0), (1, 2.0, 0.0), (1, 2.0, 0.0)], "i int, la double, ld double")
-    seen = {}
     config = clean.CleanConfig(rules=(0, 5, 11))
-    assert kept(clean.clean_dataset(df, config=config, observe=seen)) == [1]
-    seen = {}
-    clean.clean_dataset(df, config=config, observe=seen).collect()
-    assert {n: o.get["rows"] for n, o in seen.items()} == {0: 2, 5: 1, 11: 1}
+    assert kept(clean.clean_dataset(df, config=config)) == [1]
+    steps = clean.clean_counts(df, config=config).orderBy("step").collect()
+    assert [tuple(r) for r in steps] == [(0, None, 3, None), (1, 0, 2, 1), (2, 5, 1, 1), (3, 11, 1, 0)]
 
 
 def commits(frame, counts):
