@@ -63,8 +63,16 @@ def explode_inner_join(commits: DataFrame, metrics: DataFrame, *, files: str, fi
 
 
 def explode_left_join(commits: DataFrame, metrics: DataFrame, *, files: str, file: str) -> DataFrame:
-    """All class metrics, with the commits that changed their file where there are any."""
-    return split_hot_join(metrics, explode_files(commits, files=files, file=file), on=[file], how="left")
+    """All class metrics, with the commits that changed their file where there are any.
+
+    A file that very many commits changed is hot on the optional side, which an outer join cannot
+    split; matches come from the sliced inner join and the rest is added by an anti join.
+    """
+    changed = explode_files(commits, files=files, file=file)
+    matched = split_hot_join(changed, metrics, on=[file])
+    alone = metrics.join(changed.select(file).distinct(), file, "left_anti")
+    names = [*metrics.columns, *[c for c in changed.columns if c != file]]
+    return matched.unionByName(alone, allowMissingColumns=True).select(*[col(c) for c in names])
 
 
 def changed_class_semi_join(metrics: DataFrame, changed: DataFrame, *, on: Sequence[str]) -> DataFrame:
