@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftline.llm.bpe import encode
+from riftline.llm.mixing import mix_report
 from riftline.llm.quality import quality_rules
 from riftline.llm.secrets import fit_network, scan
 from riftline.llm.simhash import near_duplicates
@@ -38,6 +39,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -47,6 +52,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
+    "op8_source_mix": op8_source_mix,
     "op9_simhash": op9_simhash,
 }
 
