@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riftline.llm.bpe import encode
+from riftline.llm.fingerprint import edited_fingerprints
 from riftline.llm.licenses import license_scan
 from riftline.llm.mixing import mix_report
 from riftline.llm.quality import quality_rules
@@ -24,6 +25,10 @@ def rank_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), rank_file(), keep_ids=False)
 
@@ -54,6 +59,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_fingerprints": op1_fingerprints,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
