@@ -12,6 +12,8 @@ from riftline.llm.mixing import mix_report
 from riftline.llm.quality import quality_rules
 from riftline.llm.secrets import fit_network, scan
 from riftline.llm.simhash import near_duplicates
+from riftline.llm.substrings import dedup_substrings
+from riftline.llm.suffixes import dedup_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +31,14 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), rank_file(), keep_ids=False)
 
@@ -60,6 +70,8 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
