@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riftline.llm.bpe import encode
 from riftline.llm.fingerprint import edited_fingerprints
+from riftline.llm.html import extract
 from riftline.llm.licenses import license_scan
 from riftline.llm.mixing import mix_report
 from riftline.llm.quality import quality_rules
@@ -31,6 +32,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"), keep_text=False)
 
@@ -70,6 +75,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_html_extract": op2_html_extract,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
