@@ -9,7 +9,8 @@ pass over the source, and slots meet blocks in a join by index. A hash of its ke
 Defined cases: a null text has size 0; a null source is a source, the last one; a document without words is never taken;
 repeated rows are documents of their own; an empty table gives an empty result; other columns are ignored. The source
 table (one row per source) is ordered in one task; documents, blocks and slots never are: a source is cut into 4096
-slices by hash before its running sums, and its slots are made in chunks.
+slices by hash before its running sums, and its slots are made in chunks. Tables with a row per document, block or slice
+are joined by merging: written narrow, they are so small on disk that Spark would take them for broadcasts.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def pieces(sized: DataFrame, shares: DataFrame) -> DataFrame:
     offsets = sums.select("number", "_slice", (F.sum("_words").over(earlier) - F.col("_words")).alias("_offset"))
     inside = Window.partitionBy("number", "_slice").orderBy("doc_id", "size", "_row")
     start = F.col("_offset") + F.sum("size").over(inside) - F.col("size")
-    placed = numbered.join(offsets, ["number", "_slice"]).select("_row", "number", start.alias("_start"), (start + F.col("size")).alias("_end"))
+    placed = numbered.join(offsets.hint("merge"), ["number", "_slice"]).select("_row", "number", start.alias("_start"), (start + F.col("size")).alias("_end"))
     cut = placed.withColumn("block", F.explode(F.sequence(
         F.call_function("div", F.col("_start"), F.lit(BLOCK_WORDS)), F.call_function("div", F.col("_end") - 1, F.lit(BLOCK_WORDS))
     )))
@@ -115,7 +116,7 @@ def pieces(sized: DataFrame, shares: DataFrame) -> DataFrame:
 def taken_pieces(sized: DataFrame, shares: DataFrame, seed: int = 8) -> DataFrame:
     """The pieces that the mix takes, with how many slots take them."""
     used = slots(shares, seed).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    return pieces(sized, shares).join(used, ["number", "block"])
+    return pieces(sized, shares).join(used.hint("merge"), ["number", "block"])
 
 
 def mix_report(docs: DataFrame, seed: int = 8) -> DataFrame:
@@ -126,7 +127,7 @@ def mix_report(docs: DataFrame, seed: int = 8) -> DataFrame:
     per_source = shares.select(F.col("source").alias("_source"), "source_size", "target")
     return (
         sized.join(per_source, F.col("source").eqNullSafe(F.col("_source")))
-        .join(taken.withColumnRenamed("_row", "_taken_row"), F.col("_row") == F.col("_taken_row"), "left")
+        .join(taken.withColumnRenamed("_row", "_taken_row").hint("merge"), F.col("_row") == F.col("_taken_row"), "left")
         .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     )
 
