@@ -26,6 +26,7 @@ SHARD_SLOTS = 4096
 MOST = 3  # passes over a source
 SLICES = 4096
 CHUNK = 4096
+TASK_SLOTS, MOST_TASKS = 1 << 16, 1 << 15  # slots that one task makes, at most so many tasks
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -77,7 +78,9 @@ def slots(shares: DataFrame, seed: int = 8) -> DataFrame:
         "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col("slots") - 1, F.lit(CHUNK))))
     )
     start = F.col("_chunk") * CHUNK
-    each = chunks.repartition("number", "_chunk").withColumn(
+    row = shares.agg(F.max("all_slots")).first()
+    tasks = max(1, min(MOST_TASKS, (row[0] or 0) // TASK_SLOTS))
+    each = chunks.repartition(tasks, "number", "_chunk").withColumn(
         "_k", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("slots")) - 1))
     )
     lap = F.call_function("div", F.col("_k"), F.col("blocks"))
