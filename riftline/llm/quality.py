@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftline.llm.blocks import Block, Words, blocks, mix, rolling
@@ -109,7 +109,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(measure, STATS)
 
 
-def base_failed() -> F.Column:
+def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
 
 
@@ -228,21 +228,42 @@ def fit_quality(
     return model
 
 
+def verdicts(stats: pa.RecordBatch, model: QualityModel | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """base_failed, anomaly and kept of each row of statistics."""
+    held = {name: stats.column(name).to_numpy(zero_copy_only=False) for name in NAMES if name != "doc_id"}
+    failed = (held["n_words"] < MIN_WORDS) | (100 * held["n_repeat_words"] > REPEAT_PERCENT * held["n_words"])
+    if model is None:
+        return failed, np.zeros(len(failed)), ~failed
+    score = model.anomaly(rates(held))
+    return failed, score, ~failed & (score <= model.threshold)
+
+
 def judge(stats: DataFrame, model: QualityModel | None) -> DataFrame:
     """Adds base_failed, anomaly and kept to the statistics."""
 
-    def verdict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in NAMES if name != "doc_id"}
-            failed = (held["n_words"] < MIN_WORDS) | (100 * held["n_repeat_words"] > REPEAT_PERCENT * held["n_words"])
-            score = model.anomaly(rates(held)) if model is not None else np.zeros(len(failed))
-            fine = score <= model.threshold if model is not None else np.ones(len(failed), dtype=bool)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(failed), pa.array(score), pa.array(~failed & fine)],
+                [*batch.columns, *map(pa.array, verdicts(batch, model))],
                 names=[*batch.schema.names, "base_failed", "anomaly", "kept"],
             )
 
-    return stats.mapInArrow(verdict, f"{STATS}, base_failed boolean, anomaly double, kept boolean")
+    return stats.mapInArrow(run, f"{STATS}, base_failed boolean, anomaly double, kept boolean")
+
+
+def passing(docs: DataFrame, labels: DataFrame | None, **fit) -> DataFrame:
+    """The documents that pass, all columns as they were. Texts are measured again where they are: a second pass over
+    them is cheaper than a shuffle of them to meet the verdicts."""
+    model = fit_quality(stored(text_statistics(docs), "quality_stats"), labels, **fit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for stats in measure([batch]):
+                yield batch.slice(at, stats.num_rows).filter(pa.array(verdicts(stats, model)[2]))
+                at += stats.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame | None, **fit) -> DataFrame:

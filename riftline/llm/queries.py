@@ -50,7 +50,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return scan(docs, fit_network(docs)).drop("clean")
+    return scan(docs, fit_network(docs))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -306,52 +306,73 @@ def fit_network(docs: DataFrame, *, rows: int = 1500, made: int = 3000, recall:
     return net
 
 
-SCHEMA = (
-    "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string, clean string"
-)
+def findings(block: Block, net: CharNet) -> list[list[tuple[int, int, int]]]:
+    """Per row the base findings and the candidates that the network accepts: (kind, start, end) in bytes of the block."""
+    raw, found = block.data.tobytes(), find(block)
+    asked = [i for i, x in enumerate(found) if x[1] >= RUN]
+    codes = CharNet.codes([
+        window(raw, int(block.at[found[i][0]]), int(block.at[found[i][0] + 1]), *found[i][2:]) for i in asked
+    ])
+    odds = dict(zip(asked, net.probability(codes).tolist(), strict=True))
+    spans: list[list[tuple[int, int, int]]] = [[] for _ in range(block.size)]
+    for i, (row, kind, a, b) in enumerate(found):
+        if kind < RUN or odds[i] >= net.threshold:
+            spans[row].append((min(kind, RUN), a, b))
+    return spans
+
+
+SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_model long, base_sha256 string, spans string"
 
 
-def scan(docs: DataFrame, net: CharNet, *, mask: str | None = None, carry: str = "") -> DataFrame:
-    """Findings per document: counts, ``kind:start:end`` in code points, and with ``mask`` the text with every finding
-    replaced. ``carry`` names further columns, as "name type", to take along."""
-    extra = [part.split()[0] for part in carry.split(", ")] if carry else []
+def scan(docs: DataFrame, net: CharNet) -> DataFrame:
+    """Findings per document: counts, and ``kind:start:end`` in code points."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in blocks(batch, "text"):
-                raw = block.data.tobytes()
-                found = find(block)
-                asked = [i for i, x in enumerate(found) if x[1] >= RUN]
-                codes = CharNet.codes([
-                    window(raw, int(block.at[found[i][0]]), int(block.at[found[i][0] + 1]), *found[i][2:]) for i in asked
-                ])
-                odds = dict(zip(asked, net.probability(codes).tolist(), strict=True))
                 chars = np.concatenate([[0], np.cumsum((block.data & 0xC0) != 0x80)])
-                spans: list[list[tuple[int, int, int]]] = [[] for _ in range(block.size)]
-                for i, (row, kind, a, b) in enumerate(found):
-                    if kind < 3 or odds[i] >= net.threshold:
-                        spans[row].append((min(kind, RUN), a, b))
-                base, every, clean, counts = [], [], [], np.zeros((4, block.size), dtype=np.int64)
-                for row, some in enumerate(spans):
+                base, every, counts = [], [], np.zeros((4, block.size), dtype=np.int64)
+                for row, some in enumerate(findings(block, net)):
                     zero = chars[block.at[row]]
                     said = [f"{KINDS[k]}:{chars[a] - zero}:{chars[b] - zero}" for k, a, b in some]
                     for k, _, _ in some:
                         counts[k, row] += 1
-                    base.append(hashlib.sha256(",".join(s for s, x in zip(said, some, strict=True) if x[0] < 3).encode()).hexdigest())
+                    base.append(hashlib.sha256(",".join(s for s, x in zip(said, some, strict=True) if x[0] < RUN).encode()).hexdigest())
                     every.append(",".join(said))
-                    if mask is not None and some:
-                        out, at = [], int(block.at[row])
-                        for _, a, b in some:
-                            if a >= at:
-                                out += [raw[at:a], mask.encode()]
-                            at = max(at, b)
-                        clean.append((b"".join(out) + raw[at:int(block.at[row + 1])]).decode(errors="replace"))
-                    else:
-                        clean.append(part.column("text")[row].as_py() if mask is not None else None)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id").cast(pa.int64()), *[pa.array(c) for c in counts], pa.array(base, pa.string()),
-                     pa.array(every, pa.string()), pa.array(clean, pa.string()), *[part.column(name) for name in extra]],
-                    names=["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans", "clean", *extra],
+                     pa.array(every, pa.string())],
+                    names=["doc_id", "n_assign", "n_access", "n_hex", "n_model", "base_sha256", "spans"],
                 )
 
-    return docs.select("doc_id", "text", *extra).mapInArrow(run, SCHEMA + (f", {carry}" if carry else ""))
+    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+
+
+def redact(docs: DataFrame, net: CharNet, mask: str = "[SECRET]") -> DataFrame:
+    """The documents with every finding replaced (overlapping ones by one mask), n_chars anew, else as they were."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, block in blocks(batch, "text"):
+                raw = block.data.tobytes()
+                texts, touched = part.column("text").to_pylist(), False
+                for row, some in enumerate(findings(block, net)):
+                    if not some:
+                        continue
+                    out, at = [], int(block.at[row])
+                    for _, a, b in some:
+                        if a >= at:
+                            out += [raw[at:a], mask.encode()]
+                        at = max(at, b)
+                    texts[row] = (b"".join(out) + raw[at:int(block.at[row + 1])]).decode(errors="replace")
+                    touched = True
+                if touched:
+                    place = part.schema.get_field_index("text")
+                    part = part.set_column(place, part.schema.field(place), pa.array(texts, part.schema.field(place).type))
+                    if "n_chars" in part.schema.names:
+                        place = part.schema.get_field_index("n_chars")
+                        sizes = [None if text is None else len(text) for text in texts]
+                        part = part.set_column(place, part.schema.field(place), pa.array(sizes, part.schema.field(place).type))
+                yield part
+
+    return docs.mapInArrow(run, docs.schema)

@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftline.llm.blocks import Words, blocks
@@ -68,15 +68,21 @@ def fingerprints_of(words: Words) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the fingerprint as a signed long, one row per document."""
+    """doc_id, rid (a hash of doc_id and text) and the fingerprint as a signed long, one row per document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, block in blocks(batch, "text"):
                 marks = fingerprints_of(Words(block)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array(marks)], names=["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id").cast(pa.int64()), part.column("rid"), pa.array(marks)], names=["doc_id", "rid", "fp"]
+                )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text", row_hash().alias("rid")).mapInArrow(run, "doc_id long, rid long, fp long")
+
+
+def row_hash() -> Column:
+    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
 def embed(fp: np.ndarray) -> np.ndarray:
@@ -208,14 +214,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _rooted(marks: DataFrame) -> DataFrame:
+    """(fp, low, root) of each different fingerprint, low being its smallest doc_id."""
+    points = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(points.select("fp")))
+    return points.join(roots, points["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable by links, one row per document."""
     marks = stored(fingerprints(docs), "simhash")
-    points = marks.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(points.select("fp")))
-    placed = points.join(roots, points["fp"] == roots["node"], "left").select(
-        "fp", "low", F.coalesce("root", "fp").alias("root")
-    )
+    placed = _rooted(marks)
     least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
     named = placed.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
     return marks.join(named, marks["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """Of each component the document with the smallest doc_id (then the smallest row hash), all columns as they were; of
+    rows that repeat it one."""
+    marks = stored(fingerprints(docs), "simhash")
+    placed = _rooted(marks).select(F.col("fp").alias("_fp"), "root")
+    first = marks.join(placed, F.col("fp") == F.col("_fp")).groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
+    )
+    chosen = first.select(F.col("first.rid").alias("_chosen"))
+    kept = docs.withColumn("_rid", row_hash()).join(chosen, F.col("_rid") == F.col("_chosen"), "left_semi")
+    return kept.dropDuplicates(["_rid"]).drop("_rid")
