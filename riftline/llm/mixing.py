@@ -146,17 +146,22 @@ def _some_words(text: Column, spans: Column) -> Column:
 def mixed_documents(docs: DataFrame, seed: int = 8) -> DataFrame:
     """The documents as the mix takes them: one row per document and pass with the words taken in that pass (the whole
     text where all are), n_chars anew, other columns as they were."""
-    held = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "mix_documents")
-    count = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    sized = stored(held.select("_row", "doc_id", "source", count.alias("size")), "mix_sizes")
+    # the document travels as one column, so that no name of it can clash
+    whole_doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    held = stored(docs.select(F.monotonically_increasing_id().alias("_row"), whole_doc.alias("_doc")), "mix_documents")
+    count = F.coalesce(F.regexp_count("_doc.text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = stored(held.select("_row", F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.source").alias("source"), count.alias("size")), "mix_sizes")
     shares = stored(targets(sized), "mix_targets")
     passes = taken_pieces(sized, shares, seed).withColumn("_pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     takes = passes.groupBy("_row", "_pass").agg(
         F.sort_array(F.collect_list(F.struct("first_word", "n_words"))).alias("_spans"), F.sum("n_words").alias("_words")
     ).withColumnRenamed("_row", "_taken_row")
-    whole = takes.join(sized.select(F.col("_row").alias("_taken_row"), "size"), "_taken_row")
-    joined = held.join(whole, F.col("_row") == F.col("_taken_row"))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(_some_words(F.col("text"), F.col("_spans")))
-    kept = [c for c in docs.columns if c not in ("text", "n_chars")]
-    mixed = joined.select(*kept, text.alias("text"))
-    return mixed.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in docs.columns])
+    whole = takes.join(sized.select(F.col("_row").alias("_taken_row"), "size").hint("merge"), "_taken_row")
+    joined = held.join(whole.hint("merge"), F.col("_row") == F.col("_taken_row"))
+    full = F.col("_doc.text")
+    text = F.when(F.col("_words") == F.col("size"), full).otherwise(_some_words(full, F.col("_spans")))
+    mixed = joined.select(text.alias("_text"), "_doc")
+    return mixed.select(*[
+        F.col("_text").alias(c) if c == "text" else F.length("_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+        else F.col(f"_doc.`{c}`").alias(c) for c in docs.columns
+    ])

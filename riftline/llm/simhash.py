@@ -239,5 +239,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     )
     chosen = first.select(F.col("first.rid").alias("_chosen"))
-    kept = docs.withColumn("_rid", row_hash()).join(chosen, F.col("_rid") == F.col("_chosen"), "left_semi")
-    return kept.dropDuplicates(["_rid"]).drop("_rid")
+    # the document travels as one column, so that no name of it can clash
+    held = docs.select(row_hash().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
+    kept = held.join(chosen, F.col("_rid") == F.col("_chosen"), "left_semi")
+    return kept.dropDuplicates(["_rid"]).select("_doc.*")
