@@ -27,6 +27,10 @@ def fold_and(terms: Iterable[Column]) -> Column:
     return fold(terms, lambda a, b: a & b, F.lit(True))
 
 
+def fold_or(terms: Iterable[Column]) -> Column:
+    return fold(terms, lambda a, b: a | b, F.lit(False))
+
+
 def col(name: str) -> Column:
     """Column by exact name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from riftline.functions.folds import col, fold_and, fold_sum, nan_to_null
 from riftline.operators.ordering import with_next
-from riftline.schemas import LABEL
+from riftline.schemas import INFO, LABEL, main_features
 
 DAY = 24 * 3600
 TIME = "author_date_unix_timestamp"
@@ -183,9 +183,13 @@ def rule_too_many_files(df: DataFrame, *, threshold: float = 10) -> DataFrame:
     return df.filter((F.col("changed_file_count") <= threshold) | _is_bug())
 
 
-def _steps(config: CleanConfig) -> dict:
+def _steps(config: CleanConfig, columns: Sequence[str]) -> dict:
     from riftline.operators.clusters import rule_cluster_reduce
 
+    # Without a choice of columns: the main run's features and descriptive columns, as far as there are any.
+    features = config.features or [c for c in main_features() if c in columns]
+    info = config.info or [c for c in INFO if c in columns]
+
     timed = {"project": config.project, "time": config.time, "tie": list(config.tie)}
     return {
         0: rule_dedupe,
@@ -204,7 +208,7 @@ def _steps(config: CleanConfig) -> dict:
         13: lambda d: rule_change_too_small(d, threshold=config.minimal),
         14: lambda d: rule_too_many_files(d, threshold=config.max_files),
         15: lambda d: rule_cluster_reduce(
-            d, threshold=config.max_files, features=config.features, info=config.info,
+            d, threshold=config.max_files, features=features, info=info,
             project=config.project, tie=config.tie,
         ),
     }
@@ -212,7 +216,7 @@ def _steps(config: CleanConfig) -> dict:
 
 def clean_dataset(df: DataFrame, *, config: CleanConfig = CleanConfig()) -> DataFrame:
     """The rules in the configured order."""
-    steps = _steps(config)
+    steps = _steps(config, df.columns)
     for number in config.rules:
         df = steps[number](df)
     return df
@@ -223,7 +227,7 @@ def clean_counts(df: DataFrame, *, config: CleanConfig = CleanConfig()) -> DataF
 
     One count per step in one job; steps up to the same shuffle share it.
     """
-    steps = _steps(config)
+    steps = _steps(config, df.columns)
     counts = [df.agg(F.lit(0).alias("step"), F.lit(None).cast("int").alias("rule"), F.count(F.lit(1)).alias("rows"))]
     for at, number in enumerate(config.rules, 1):
         df = steps[number](df)

@@ -137,23 +137,24 @@ def shapley_values(
     """
     p = len(cols)
     rng = random.Random(seed)
-    steps = []
-    for _ in range(permutations):
-        order = rng.sample(range(p), p)
-        for t in range(p + 1):
-            mask = [n in order[:t] for n in range(p)]
-            steps.append((mask, order[t - 1] if t else -1, order[t] if t < p else -1))
-    cells = F.array(*[
-        F.struct(F.array(*[F.lit(b) for b in mask]).alias("mask"), F.lit(gain).alias("gain"), F.lit(cost).alias("cost"))
-        for mask, gain, cost in steps
+    drawn = [rng.sample(range(p), p) for _ in range(permutations)]
+    # A permutation travels as its order and the place of each feature in it; step t has the first t features replaced.
+    orders = F.array(*[
+        F.struct(
+            F.array(*map(F.lit, order)).alias("order"), F.array(*[F.lit(order.index(n)) for n in range(p)]).alias("place")
+        ) for order in drawn
     ])
     base = F.array(*[F.lit(float(v)) for v in background])
-    mixed = rows.select(col(key), features_array(cols).alias("_x"), F.explode(cells).alias("_c")).select(
-        col(key), "_c",
-        F.zip_with(
-            F.arrays_zip(F.col("_x").alias("x"), base.alias("b")), F.col("_c.mask"),
-            lambda v, on: F.when(on, v["x"]).otherwise(v["b"]),
-        ).alias("_x"),
+    stepped = rows.select(col(key), features_array(cols).alias("_x"), F.explode(orders).alias("_o")).select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("_t")
+    )
+    mixed = stepped.select(
+        col(key),
+        F.struct(
+            F.coalesce(F.get("_o.order", F.col("_t") - 1), F.lit(-1)).alias("gain"),
+            F.coalesce(F.get("_o.order", F.col("_t")), F.lit(-1)).alias("cost"),
+        ).alias("_c"),
+        F.transform("_x", lambda v, n: F.when(F.get("_o.place", n) < F.col("_t"), v).otherwise(F.get(base, n))).alias("_x"),
     )
     scored = model.score(mixed, vector=F.col("_x"))
     credit = F.array(

@@ -9,20 +9,16 @@ from pyspark.sql import functions as F
 
 from riftline.functions.folds import col
 from riftline.schemas import delta
+from riftline.session import freeze
 
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1000
+NAMED_KEYS = 100_000  # hot keys up to this number are broadcast
 
 
 def hot_keys(rows: DataFrame, *, on: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """The keys with more than ``hot_rows`` rows and the number of slices for each; the 1000 largest."""
+    """The keys with more than ``hot_rows`` rows and the number of slices for each."""
     counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    return (
-        counts.filter(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *on)
-        .limit(HOT_KEYS)
-        .select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
-    )
+    return counts.filter(F.col("_n") > hot_rows).select(*on, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_slices"))
 
 
 def split_hot_join(
@@ -36,14 +32,16 @@ def split_hot_join(
 ) -> DataFrame:
     """Equality join in which a key with very many ``rows`` is cut into slices.
 
-    The slices of ``rows`` are dealt out by a hash of the row and the matching ``other`` rows are
-    repeated once per slice. ``hot`` names the keys to slice; it is counted from ``rows`` if it is not
-    given, which reads them a second time. At most 1000 keys are sliced, so the broadcast table that
-    names them is bounded; every other key joins unsliced.
+    The slices of ``rows`` are dealt out by row number, so equal rows spread too, and the matching
+    ``other`` rows are repeated once per slice. ``hot`` names the keys to slice; it is counted from
+    ``rows`` if it is not given, which reads them a second time. The hot keys are counted before they
+    are broadcast: past ``NAMED_KEYS`` of them they join as an ordinary table.
     """
-    named = F.broadcast(hot_keys(rows, on=on, hot_rows=hot_rows) if hot is None else hot)
+    named = freeze(hot_keys(rows, on=on, hot_rows=hot_rows) if hot is None else hot)
+    if named.count() <= NAMED_KEYS:
+        named = F.broadcast(named)
     many = F.coalesce(F.col("_slices"), F.lit(1))
-    deal = F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(*[col(c) for c in rows.columns]), many))
+    deal = F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), many))
     dealt = rows.join(named, list(on), "left").withColumn("_slice", deal.cast("int"))
     repeated = other.join(named, list(on), "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), many - 1))

@@ -9,7 +9,6 @@ from dataclasses import dataclass
 from functools import partial
 
 from pyspark.ml.classification import (
-    DecisionTreeClassifier,
     GBTClassifier,
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -143,22 +142,23 @@ def fit_mlp(
     return _fit(MultilayerPerceptronClassifier(**{"layers": layers, "seed": 42, **params}), train, cols, label, None)
 
 
-def _poisson(rate: float, draw: Column, most: int = 12) -> Column:
-    """Bootstrap multiplicity of a row: the inverse distribution at a uniform draw."""
-    below, term = 0.0, math.exp(-rate)
+def _poisson(rate: float, draw: Column) -> Column:
+    """Bootstrap multiplicity of a row: the inverse distribution at a uniform draw, up to the mass of a double."""
+    below, term, n = 0.0, math.exp(-rate), 0
     out = F.when(F.lit(False), F.lit(0.0))
-    for n in range(most):
+    while below + term > below:
         below += term
         out = out.when(draw < below, F.lit(float(n)))
-        term *= rate / (n + 1)
-    return out.otherwise(F.lit(float(most)))
+        n += 1
+        term *= rate / n
+    return out.otherwise(F.lit(float(n)))
 
 
 def fit_balanced_forest(
     train: DataFrame, *, cols: Sequence[str], label: str, key: str, trees: int = 100, seed: int = 42,
     **params,
 ) -> Fitted:
-    """Trees on class-balanced bootstraps.
+    """Trees on class-balanced bootstraps, each split over a sample of the features.
 
     A row enters a bootstrap with a weight, not as copies: its multiplicity follows a Poisson draw
     whose rate makes every class as large as the rarest.
@@ -172,8 +172,9 @@ def fit_balanced_forest(
         weight = F.lit(0.0)
         for value, n in counts.items():
             weight = F.when(F.col(TARGET) == value, _poisson(least / n, draw)).otherwise(weight)
-        estimator = DecisionTreeClassifier(
-            featuresCol=VECTOR, labelCol=TARGET, weightCol="_w", seed=seed + tree, **params
+        estimator = RandomForestClassifier(
+            featuresCol=VECTOR, labelCol=TARGET, weightCol="_w", seed=seed + tree, numTrees=1, bootstrap=False,
+            **{"featureSubsetStrategy": "sqrt", **params},
         )
         return estimator.fit(rows.withColumn("_w", weight).filter("_w > 0"))
 
@@ -296,7 +297,7 @@ def _tune_balanced(dealt, cols, label, key, folds, trials, seed, space) -> Tuned
     results = []
     fit = partial(fit_balanced_forest, cols=cols, label=label, key=key, seed=seed)
     for draw in draws:
-        settings = {k: v for k, v in draw.items() if k in ("maxDepth", "minInstancesPerNode")}
+        settings = {k: v for k, v in draw.items() if k != "numTrees"}
         trees = draw.get("numTrees", 100)
         total = 0.0
         for fold in range(folds):
@@ -305,7 +306,7 @@ def _tune_balanced(dealt, cols, label, key, folds, trials, seed, space) -> Tuned
             total += average_precision(scored, label=label).first()[0]
         results.append((draw, total / folds))
     params, score = max(results, key=lambda r: r[1])
-    settings = {k: v for k, v in params.items() if k in ("maxDepth", "minInstancesPerNode")}
+    settings = {k: v for k, v in params.items() if k != "numTrees"}
     return Tuned(params, score, results, fit(dealt, trees=params.get("numTrees", 100), **settings))
 
 

@@ -101,9 +101,16 @@ def pos_weight_ratio(df: DataFrame, *, label: str) -> DataFrame:
 def stratified_folds(
     df: DataFrame, *, label: str, key: str, k: int = 5, seed: int = 42, draw: str | None = None
 ) -> DataFrame:
-    """Adds ``fold`` 0..k-1: rows of a class are dealt out in hash order."""
-    hashed = df if draw else df.withColumn("_draw", F.xxhash64(col(key), F.lit(seed)))
-    ranked = hash_rank(hashed, draw or "_draw", key, by=[label], name="_rank")
+    """Adds ``fold`` 0..k-1: rows of a class are dealt out in hash order.
+
+    A given ``draw`` need not be uniform, so its ranks come from ranges of the data and not from equal
+    slices of all numbers, which could put a whole class in one task.
+    """
+    if draw:
+        ranked = with_group_index(df, [label], [draw, key], name="_rank")
+    else:
+        hashed = df.withColumn("_draw", F.xxhash64(col(key), F.lit(seed)))
+        ranked = hash_rank(hashed, "_draw", key, by=[label], name="_rank")
     dealt = ranked.withColumn("fold", F.pmod("_rank", F.lit(k)).cast("int"))
     return dealt.select(*df.columns, "fold")
 

@@ -7,8 +7,16 @@ from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riftline.functions.columns import is_source_file, parse_list_string
+from riftline.functions.columns import (
+    calendar_features,
+    changed_file_count,
+    churn_features,
+    epoch_to_timestamp,
+    is_source_file,
+    parse_list_string,
+)
 from riftline.functions.folds import col
 from riftline.operators.joins import (
     commit_parent,
@@ -18,7 +26,41 @@ from riftline.operators.joins import (
     one_per_key,
     split_hot_join,
 )
-from riftline.schemas import delta
+from riftline.operators.rows import copy_columns, equal_width_bucket
+from riftline.schemas import COMMIT_DERIVED, COMMIT_INFO, METRICS, change_columns, delta
+
+
+def derived_commits(commits: DataFrame) -> DataFrame:
+    """Commits with the columns derived from time, churn, authors and the file list; epoch seconds become a timestamp."""
+    ts = col("author_date_unix_timestamp")
+    timed = commits if isinstance(commits.schema["author_date_unix_timestamp"].dataType, T.TimestampType) else (
+        commits.withColumn("author_date_unix_timestamp", epoch_to_timestamp(ts))
+    )
+    count = changed_file_count(col("fileschanged"))
+    derived = timed.withColumns({
+        **calendar_features(ts),
+        **churn_features(added=col("la"), deleted=col("ld"), files=count),
+        "changed_file_count": count, "num_files_changed": count,
+    })
+    copied = copy_columns(derived, {"author_experience": "exp", "author_ownership": "ndev"})
+    return equal_width_bucket(copied, col="entrophy", out="entropy_bucket")
+
+
+def build_changes(
+    commits: DataFrame, history: DataFrame, metrics: DataFrame, *, missing_file: str = "skip", unique: bool = False
+) -> DataFrame:
+    """The change table with its 126 columns, in their order.
+
+    The plan is wide: write the table before it is cleaned. ``commits`` is as scanned (``commit_hash``, epoch seconds,
+    the delimited file list), ``metrics`` has ``commit, file,
+    class, type`` and the class metrics.
+    """
+    named = derived_commits(commits.withColumnRenamed("commit_hash", "hash"))
+    wide = merge_changes(
+        named.select("hash", "fileschanged", *[col(c) for c in (*COMMIT_INFO, *COMMIT_DERIVED)]), history,
+        metrics.withColumnRenamed("commit", "hash"), metric_names=METRICS, missing_file=missing_file, unique=unique,
+    )
+    return wide.select(*[col(c) for c in change_columns()])
 
 
 def merge_changes(

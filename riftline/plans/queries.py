@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riftline import schemas
 from riftline.functions import columns as C
 from riftline.functions.folds import col
 from riftline.operators import clean, evaluate, explain, joins, models, online, profile, resample, rows, scale, select, split
@@ -16,7 +17,7 @@ from riftline.operators.neighbours import knn_join
 from riftline.operators.ordering import with_global_index
 from riftline.plans import bindings as B
 from riftline.plans.bindings import DIMS, DOC_COLS, METRIC_NAMES, Data
-from riftline.plans.changes import merge_changes
+from riftline.plans.changes import build_changes, merge_changes
 from riftline.plans.training import RunConfig, train_evaluate
 from riftline.session import ensure_checkpoint_dir, freeze
 from riftline.sources import tables as S
@@ -367,6 +368,21 @@ def merge_changes_zero(d: Data) -> DataFrame:
     return _merged(d, "zero")
 
 
+@query
+def change_table_full(d: Data) -> DataFrame:
+    """The 126 columns from raw commits and class metrics."""
+    commits = d.view(B.COMMITS).select(
+        F.col("hash").alias("commit_hash"), F.unix_seconds("author_date").alias("author_date_unix_timestamp"), "fileschanged",
+        "contains_bug", (F.col("author") % 2 == 0).alias("fix"), F.lit(None).cast("string").alias("classification"), "entrophy",
+        *[(F.col("author") % n).cast("double").alias(c) for n, c in enumerate(("la", "ld", "ndev", "age", "exp", "rexp", "sexp", "glm_probability"), 11)],
+    )
+    metrics = d.view(B.METRICS).select(
+        F.col("hash").alias("commit"), "file", "class", F.lit("class").alias("type"),
+        *[F.pmod(F.col("loc") + n * F.col("wmc"), F.lit(float(7 + n))).alias(m) for n, m in enumerate(schemas.METRICS)],
+    )
+    return build_changes(commits, d.view(B.HISTORY), metrics, unique=True)
+
+
 # ---------------------------------------------------------------- profiles
 
 @query
@@ -701,7 +717,7 @@ def chi2_score(d: Data) -> DataFrame:
 
 @query
 def tree_importance(d: Data) -> DataFrame:
-    return select.tree_importance(d.features(), trees=20, **SCORED_BY)
+    return select.tree_importance(d.features(), **SCORED_BY)
 
 
 @query
@@ -711,7 +727,7 @@ def select_model_threshold(d: Data) -> DataFrame:
 
 @query
 def select_rfe(d: Data) -> DataFrame:
-    return select.select_rfe(d.view(B.DOCUMENTS), cols=DOC_COLS, label="label", k=2, maxIter=20)
+    return select.select_rfe(d.view(B.DOCUMENTS), cols=DOC_COLS, label="label", k=2)
 
 
 @query
@@ -753,7 +769,7 @@ def fit_logistic(d: Data) -> DataFrame:
 
 @query
 def fit_random_forest(d: Data) -> DataFrame:
-    return _fitted(d, models.fit_random_forest, weight="weight", numTrees=20)
+    return _fitted(d, models.fit_random_forest, weight="weight", numTrees=100)
 
 
 @query
@@ -764,12 +780,12 @@ def fit_boosted_trees(d: Data) -> DataFrame:
 
 @query
 def fit_mlp(d: Data) -> DataFrame:
-    return _fitted(d, models.fit_mlp, hidden=(100, 50), maxIter=20)
+    return _fitted(d, models.fit_mlp, hidden=(100, 50))
 
 
 @query
 def fit_balanced_forest(d: Data) -> DataFrame:
-    return _fitted(d, models.fit_balanced_forest, key="doc_id", trees=8)
+    return _fitted(d, models.fit_balanced_forest, key="doc_id")
 
 
 @query
@@ -960,13 +976,13 @@ def partial_dependence(d: Data) -> DataFrame:
 @query
 def local_surrogate(d: Data) -> DataFrame:
     model, table = _explained(d)
-    return explain.local_surrogate(model, table, cols=DOC_COLS, key="doc_id", train=table, samples=100)
+    return explain.local_surrogate(model, table, cols=DOC_COLS, key="doc_id", train=table)
 
 
 def _attributed(d: Data) -> DataFrame:
     model, table = _explained(d)
     means = table.agg(*[F.avg(c) for c in DOC_COLS]).first()
-    return explain.shapley_values(model, table, cols=DOC_COLS, key="doc_id", background=list(means), permutations=4)
+    return explain.shapley_values(model, table, cols=DOC_COLS, key="doc_id", background=list(means))
 
 
 @query

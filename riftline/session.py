@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,23 @@ def build_session(app: str = "riftline", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**ENGINE_CONF, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Sends the package to the executors, once per application, so that Python workers can import it anywhere."""
+    context = spark.sparkContext
+    if getattr(context, "_riftline_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="riftline-code-")) / "riftline.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(package.rglob("*.py")):
+            out.write(source, source.relative_to(package.parent))
+    context.addPyFile(str(archive))  # the driver serves it to every executor
+    context._riftline_shipped = True
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:

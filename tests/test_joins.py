@@ -2,7 +2,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from riftline.operators import joins
-from riftline.plans.changes import merge_changes
+from riftline import schemas
+from riftline.operators.clean import clean_dataset
+from riftline.plans.changes import build_changes, merge_changes
+from riftline.session import freeze
 from riftline.sources import tables as S
 
 
@@ -80,3 +83,34 @@ def test_pending(frame):
     done = frame([("b",)], "hash string")
     out = S.pending_with_parents(todo, parents, done, key="hash")
     assert sorted(r.hash for r in out.collect()) == ["c"]
+
+
+def test_change_table_and_default_clean(spark, frame):
+    commits = frame(
+        [("c2", 1_704_067_200, "['A.java', 'B.java']", True, False, None, 3.0, 8.0, 2.0, 4.0, 1.0, 5.0, 6.0, 7.0, 0.5),
+         ("c1", 1_703_980_800, "['A.java']", False, False, None, 0.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 1.0, 0.1)],
+        schemas.COMMITS,
+    )
+    history = frame([(0, "c2"), (1, "c1")], "seq long, hash string")
+    metrics = frame(
+        [(file, name, "class", *[float(n + shift) for n in range(49)], commit) for commit, file, name, shift in (
+            ("c1", "A.java", "A", 0), ("c2", "A.java", "A", 2), ("c1", "B.java", "B", 1), ("c2", "B.java", "B", 1))],
+        schemas.CLASS_METRICS,
+    )
+    table = build_changes(commits, history, metrics)
+    assert table.columns == schemas.change_columns() and len(table.columns) == 126
+    rows = {r["class"]: r for r in table.collect()}
+    assert set(rows) == {"A", "B"}
+    a = rows["A"]
+    assert (a.cbo, a.d_cbo, a.time_of_day, a.day_of_week, a.is_weekend) == (2.0, 2.0, 0, 0, False)
+    assert (a.net_lines_changed, a.absolute_lines_changed, a.lines_per_file) == (6.0, 10.0, 5.0)
+    assert (a.author_experience, a.author_ownership, a.changed_file_count, a.num_files_changed, a.entropy_bucket) == (5.0, 4.0, 2, 2, "high")
+    kept = clean_dataset(freeze(table))  # no argument is needed
+    assert kept.columns == table.columns and {r["class"] for r in kept.collect()} <= {"A", "B"}
+
+
+def test_every_hot_key_is_sliced(spark):
+    rows = spark.range(6000).select((F.col("id") % 2000).alias("k"), F.lit(1).alias("same"))
+    assert joins.hot_keys(rows, on=["k"], hot_rows=2).count() == 2000
+    other = spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("v"))
+    assert joins.split_hot_join(rows, other, on=["k"], hot_rows=2).count() == 6000

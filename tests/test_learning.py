@@ -2,6 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from riftline.operators.clean import CleanConfig
+from riftline.plans import training
 from riftline.functions.folds import normal, uniform
 from riftline.operators import evaluate, explain, models, resample, select
 from riftline.operators.neighbours import knn_join
@@ -207,3 +209,28 @@ def test_explanations(planted):
     assert gap.count() == 0
     bars = {r.feature: r.mean_abs for r in explain.mean_abs_attribution(values).collect()}
     assert bars["signal"] > bars["noise"]
+
+
+def test_made_keys_avoid_given_ones(frame):
+    rows = [(-n, float(n), 1 if n > 8 else 0) for n in range(1, 13)]
+    made = resample.smote(frame(rows, "id long, x double, y int"), key="id", cols=["x"], label="y", k=2)
+    assert made.count() == 16 and made.select("id").distinct().count() == 16
+    with pytest.raises(TypeError):
+        resample.smote(frame([(str(k), x, y) for k, x, y in rows], "id string, x double, y int"), key="id", cols=["x"], label="y", k=2)
+
+
+def test_run_fills_and_keeps_the_test_period(frame):
+    rows = [
+        (n, 1_600_000_000 + n, "p", None if n % 4 == 0 else float(n % 5), None if n == 7 else n % 2 == 0, float(n % 3), 1.0)
+        for n in range(40)
+    ]
+    df = frame(rows, "id long, t long, project string, la double, contains_bug boolean, totalMethodsQty double, totalFieldsQty double")
+    df = df.withColumn("t", F.timestamp_seconds("t"))
+    config = training.RunConfig(
+        features=["la"], time="t", clean=CleanConfig(rules=(0, 3), time="t", tie=("id",), project="project"), clean_after_split=True
+    )
+    sides = training._cleaned_sides(df, config)
+    assert {r.id for r in sides.filter("is_test").collect()} <= set(range(32, 40))
+    assert {r.id for r in sides.filter("NOT is_test").collect()} <= set(range(32))
+    filled = training._filled(sides, ["la"])
+    assert filled.filter("la IS NULL").count() == 0 and filled.count() == sides.count()
