@@ -234,3 +234,14 @@ def test_run_fills_and_keeps_the_test_period(frame):
     assert {r.id for r in sides.filter("NOT is_test").collect()} <= set(range(32))
     filled = training._filled(sides, ["la"])
     assert filled.filter("la IS NULL").count() == 0 and filled.count() == sides.count()
+
+
+def test_run_outputs(spark, frame, tmp_path):
+    schema = "dataset string, split string, class string, precision double, recall double, f1 double, support long"
+    report = frame([("p", "date", "1", 0.5, 0.5, 0.5, 3), ("p", "online", "1", 0.25, 0.5, 0.4, 2)], schema)
+    params = frame([("p", "date", "maxDepth", "3")], "dataset string, split string, param string, value string")
+    counts = spark.createDataFrame([("p", 8, 2, 1, 0, 0)], training.COUNTS)
+    training.write_run(training.RunResult(report, params, {}, counts), str(tmp_path / "run"))
+    row = spark.read.option("header", "true").csv(str(tmp_path / "run/report")).first()
+    assert (row.date_precision, row.online_precision) == ("0.5", "0.25")
+    assert spark.read.json(str(tmp_path / "run/params")).first().param == "maxDepth"
