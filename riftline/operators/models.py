@@ -5,9 +5,11 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -156,7 +158,7 @@ def _poisson(rate: float, draw: Column) -> Column:
 
 def fit_balanced_forest(
     train: DataFrame, *, cols: Sequence[str], label: str, key: str, trees: int = 100, seed: int = 42,
-    **params,
+    parallelism: int = 8, **params,
 ) -> Fitted:
     """Trees on class-balanced bootstraps, each split over a sample of the features.
 
@@ -179,7 +181,9 @@ def fit_balanced_forest(
         return estimator.fit(rows.withColumn("_w", weight).filter("_w > 0"))
 
     try:
-        fitted = [grow(tree) for tree in range(trees)]
+        # The trees do not depend on one another: several jobs run side by side.
+        with ThreadPoolExecutor(parallelism) as pool:
+            fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(grow), range(trees)))
     finally:
         rows.unpersist()
     return Fitted(AveragedTrees(fitted), list(cols))
