@@ -23,8 +23,8 @@ from riftline.llm.repeats import Unit, covered, known_rows, marked_rows, repeate
 
 LEAST = 200
 GRAM = 40
-HOT = 1000
-CHUNK_BYTES = 128 << 10
+HOT = 10_000  # strings of one minimiser that are compared in one task: some 3 MB
+CHUNK_BYTES = 512 << 10
 
 
 def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
@@ -62,19 +62,48 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def _extend(low: np.ndarray, high: np.ndarray, bwt: np.ndarray, before: np.ndarray, base: np.ndarray):
+class Ranks:
+    """How often a symbol occurs before a place of the transform: counts per 32 places, and a look at the rest."""
+
+    SPAN = 32
+
+    def __init__(self, bwt: np.ndarray, symbols: int):
+        n = len(bwt)
+        spans = n // self.SPAN + 1
+        self.symbols = symbols
+        self.cells = np.full(spans * self.SPAN, 255, dtype=np.uint8)
+        self.cells[:n] = bwt
+        self.cells = self.cells.reshape(spans, self.SPAN)
+        counts = np.bincount(np.arange(n) // self.SPAN * symbols + bwt, minlength=spans * symbols).reshape(spans, symbols)
+        self.before = np.zeros((spans, symbols), dtype=np.int32)
+        np.cumsum(counts[:-1], axis=0, out=self.before[1:])
+
+    def one(self, place: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        span = place // self.SPAN
+        inside = np.arange(self.SPAN) < (place % self.SPAN)[:, None]
+        return self.before[span, symbol] + ((self.cells[span] == symbol[:, None]) & inside).sum(axis=1)
+
+    def every(self, place: np.ndarray) -> np.ndarray:
+        span = place // self.SPAN
+        inside = np.arange(self.SPAN) < (place % self.SPAN)[:, None]
+        row = np.broadcast_to(np.arange(len(place))[:, None], inside.shape)[inside]
+        more = np.bincount(row * self.symbols + self.cells[span][inside], minlength=len(place) * self.symbols)
+        return self.before[span] + more.reshape(len(place), self.symbols)
+
+
+def _extend(low: np.ndarray, high: np.ndarray, bwt: np.ndarray, ranks: Ranks, base: np.ndarray):
     """All backward extensions of the intervals by one symbol, as intervals."""
     single = high - low == 1
     lows, highs = [], []
     at = low[single]
     symbol = bwt[at]
     at, symbol = at[symbol > 0], symbol[symbol > 0]
-    to = base[symbol] + before[at, symbol]
+    to = base[symbol] + ranks.one(at, symbol)
     lows.append(to)
     highs.append(to + 1)
     low, high = low[~single], high[~single]
     for cut in range(0, len(low), 8192):
-        a, b = before[low[cut:cut + 8192]], before[high[cut:cut + 8192]]
+        a, b = ranks.every(low[cut:cut + 8192]), ranks.every(high[cut:cut + 8192])
         row, symbol = np.nonzero(b[:, 1:] > a[:, 1:])
         symbol = symbol + 1
         lows.append(base[symbol] + a[row, symbol])
@@ -102,9 +131,7 @@ def compare_bytes(packed: list[bytes], least: int = LEAST) -> list[np.ndarray]:
     order = suffix_array(text, least)
     bwt = text[order - 1]
     bwt[order == 0] = 0
-    before = np.zeros((n + 1, symbols), dtype=np.int32)
-    before[np.arange(1, n + 1), bwt] = 1
-    np.cumsum(before, axis=0, out=before)
+    ranks = Ranks(bwt, symbols)
     count = np.bincount(text, minlength=symbols)
     base = np.concatenate([[0], np.cumsum(count)[:-1]])
     prefix = np.full(n + 1, -1, dtype=np.int32)  # common prefix of suffixes t - 1 and t; -1: not known yet
@@ -118,7 +145,7 @@ def compare_bytes(packed: list[bytes], least: int = LEAST) -> list[np.ndarray]:
         if not len(low):
             break
         prefix[high] = value
-        low, high = _extend(low, high, bwt, before, base)
+        low, high = _extend(low, high, bwt, ranks, base)
     twice = np.zeros(n, dtype=bool)
     together = np.flatnonzero(prefix < 0)
     twice[order[together]] = True
