@@ -131,41 +131,46 @@ def _wanted(batches: Iterator[pa.RecordBatch], unit: Unit):
             sizes = np.diff(np.asarray(asked.offsets.to_numpy()))
             flat = asked.flatten()
             row = np.repeat(np.arange(len(part)), sizes)
-            yield part, block, values, first, start, end, row, {f: flat.field(f).to_numpy() for f in ("key", "content", "start", "windows", "copies")}
+            yield part, block, values, first, start, end, row, {f: flat.field(f).to_numpy() for f in ("key", "start", "windows", "copies")} | {
+                "hot": flat.field("hot").to_numpy(zero_copy_only=False)
+            }
 
 
-def cut_strings(joined: DataFrame, unit: Unit) -> DataFrame:
-    """The packed strings of the super-k-mers asked for."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, block, _, first, start, end, row, asked in _wanted(batches, unit):
-            low = first[row] + asked["start"]
-            high = low + asked["windows"] + unit.width - 1
-            yield pa.RecordBatch.from_arrays([
-                part.column("rid").take(pa.array(row)), pa.array(asked["key"]), pa.array(asked["start"]), pa.array(asked["copies"]),
-                pa.array([unit.pack(block, start, end, a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary()),
-            ], names=["rid", "key", "start", "copies", "packed"])
-
-    return joined.mapInArrow(run, "rid long, key long, start int, copies long, packed binary")
+CUT = "rid long, key long, start int, copies long, packed binary, one long, two long"
 
 
-def cut_windows(joined: DataFrame, unit: Unit) -> DataFrame:
-    """The windows of the super-k-mers asked for, one by one, under two 64-bit hashes."""
+def cut(joined: DataFrame, unit: Unit) -> DataFrame:
+    """The super-k-mers asked for: packed strings, or, where ``hot``, their windows one by one under two 64-bit hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, _, values, first, _, _, row, asked in _wanted(batches, unit):
-            size = asked["windows"].astype(np.int64)
-            ends = np.cumsum(size)
-            step = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size, size)
-            at = np.repeat(first[row] + asked["start"], size) + step
-            yield pa.RecordBatch.from_arrays([
-                part.column("rid").take(pa.array(np.repeat(row, size))),
-                pa.array(span_hash(values, at, at + unit.width, _CONTENT).view(np.int64)),
-                pa.array(span_hash(values, at, at + unit.width, _OTHER).view(np.int64)),
-                pa.array((np.repeat(asked["start"], size) + step).astype(np.int32)), pa.array(np.repeat(asked["copies"], size)),
-            ], names=["rid", "one", "two", "start", "copies"])
-
-    return joined.mapInArrow(run, "rid long, one long, two long, start int, copies long")
+        for part, block, values, first, start, end, row, asked in _wanted(batches, unit):
+            hot = asked["hot"].astype(bool)
+            rid = part.column("rid")
+            for chosen, split in ((~hot, False), (hot, True)):
+                if not chosen.any():
+                    continue
+                place, held = row[chosen], {name: values_[chosen] for name, values_ in asked.items()}
+                low, size = first[place] + held["start"], held["windows"].astype(np.int64)
+                if split:
+                    ends = np.cumsum(size)
+                    step = np.arange(ends[-1]) - np.repeat(ends - size, size)
+                    at = np.repeat(low, size) + step
+                    place, starts = np.repeat(place, size), np.repeat(held["start"], size) + step
+                    copies, key = np.repeat(held["copies"], size), np.repeat(held["key"], size)
+                    packed = pa.nulls(len(at), pa.binary())
+                    one = pa.array(span_hash(values, at, at + unit.width, _CONTENT).view(np.int64))
+                    two = pa.array(span_hash(values, at, at + unit.width, _OTHER).view(np.int64))
+                else:
+                    starts, copies, key = held["start"], held["copies"], held["key"]
+                    high = low + size + unit.width - 1
+                    packed = pa.array([unit.pack(block, start, end, a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)], pa.binary())
+                    one = two = pa.nulls(len(place), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [rid.take(pa.array(place)), pa.array(key), pa.array(starts.astype(np.int32)), pa.array(copies), packed, one, two],
+                    names=["rid", "key", "start", "copies", "packed", "one", "two"],
+                )
+
+    return joined.mapInArrow(run, CUT)
 
 
 Compare = Callable[[list[bytes]], list[np.ndarray]]
@@ -210,7 +215,9 @@ def compare_buckets(strings: DataFrame, compare: Compare, chunk_bytes: int) -> D
 def repeated_windows(rows: DataFrame, unit: Unit, compare: Compare, *, chunk_bytes: int, hot: int) -> DataFrame:
     """Per row (``rid``): ``marks``, the runs of windows that occur twice or more in the corpus, as (low, high)."""
     listed = stored(list_super_kmers(rows, unit), f"{unit.name}_listed")
+    # Written first, so that the join reads two plain exchanges and a frequent minimiser can be split.
     keys = listed.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(F.col("key").alias("_key"))
+    keys = stored(keys, f"{unit.name}_repeated")
     shared = stored(listed.join(keys, F.col("key") == F.col("_key"), "left_semi"), f"{unit.name}_shared")
     contents = shared.groupBy("key", "content").agg(
         F.count(F.lit(1)).alias("copies"), F.first("rid").alias("rid"), F.first("start").alias("start"), F.first("windows").alias("windows")
@@ -223,21 +230,19 @@ def repeated_windows(rows: DataFrame, unit: Unit, compare: Compare, *, chunk_byt
         copied, (F.col("key") == F.col("_key")) & (F.col("content") == F.col("_content")), "left_semi"
     ).select("rid", F.col("start").alias("low"), (F.col("start") + F.col("windows") - 1).alias("high"))
 
-    def asked(keys: DataFrame) -> DataFrame:
-        few = contents.join(keys, F.col("key") == F.col("_key"), "left_semi").groupBy(F.col("rid").alias("_rid")).agg(
-            F.collect_list(F.struct("key", "content", "start", "windows", "copies")).alias("asked")
-        )
-        return rows.join(few, F.col("rid") == F.col("_rid")).select("rid", "text", "asked")
-
-    in_buckets = compare_buckets(cut_strings(asked(several.filter(F.col("contents") <= hot)), unit), compare, chunk_bytes)
-    parts = of_copies.union(in_buckets)
-    if not several.filter(F.col("contents") > hot).isEmpty():
-        single = stored(cut_windows(asked(several.filter(F.col("contents") > hot)), unit), f"{unit.name}_windows")
-        twice = single.groupBy("one", "two").agg(F.sum("copies").alias("_n")).filter("_n > 1")
-        twice = twice.select(F.col("one").alias("_one"), F.col("two").alias("_two"))
-        parts = parts.union(single.join(
-            twice, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi"
-        ).select("rid", F.col("start").alias("low"), F.col("start").alias("high")))
+    # The texts meet what is asked of them once; strings and windows are written, so either can be read by itself.
+    wanted = contents.join(several, F.col("key") == F.col("_key")).groupBy(F.col("rid").alias("_rid")).agg(
+        F.collect_list(F.struct("key", "start", "windows", "copies", (F.col("contents") > hot).alias("hot"))).alias("asked")
+    )
+    pieces = stored(cut(rows.join(wanted, F.col("rid") == F.col("_rid")).select("rid", "text", "asked"), unit), f"{unit.name}_pieces")
+    strings = pieces.filter("packed IS NOT NULL").select("rid", "key", "start", "copies", "packed")
+    single = pieces.filter("packed IS NULL").select("rid", "one", "two", "start", "copies")
+    twice = single.groupBy("one", "two").agg(F.sum("copies").alias("_n")).filter("_n > 1")
+    twice = twice.select(F.col("one").alias("_one"), F.col("two").alias("_two"))
+    of_windows = single.join(
+        twice, (F.col("one") == F.col("_one")) & (F.col("two") == F.col("_two")), "left_semi"
+    ).select("rid", F.col("start").alias("low"), F.col("start").alias("high"))
+    parts = of_copies.union(compare_buckets(strings, compare, chunk_bytes)).union(of_windows)
     return parts.groupBy(F.col("rid").alias("_rid")).agg(F.collect_list(F.struct("low", "high")).alias("marks"))
 
 
