@@ -230,12 +230,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marks.join(named, marks["fp"] == named["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """Of each component the document with the smallest doc_id (then the smallest row hash), all columns as they were; of
-    rows that repeat it one."""
-    marks = stored(fingerprints(docs), "simhash")
-    placed = _rooted(marks).select(F.col("fp").alias("_fp"), "root")
-    first = marks.join(placed, F.col("fp") == F.col("_fp")).groupBy("root").agg(
+def first_of_each(docs: DataFrame, marks: DataFrame, rooted: DataFrame, name: str) -> DataFrame:
+    """Of each root the document with the smallest doc_id (then the smallest row hash), all columns as they were; of rows
+    that repeat it one. ``marks`` has doc_id, rid and ``name`` per document, ``rooted`` a row per ``name``."""
+    placed = rooted.select(F.col(name).alias("_name"), "root")
+    first = marks.join(placed, F.col(name) == F.col("_name")).groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first")
     )
     chosen = first.select(F.col("first.rid").alias("_chosen"))
@@ -243,3 +242,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     held = docs.select(row_hash().alias("_rid"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"))
     kept = held.join(chosen, F.col("_rid") == F.col("_chosen"), "left_semi")
     return kept.dropDuplicates(["_rid"]).select("_doc.*")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """One document of each component, see ``first_of_each``."""
+    marks = stored(fingerprints(docs), "simhash")
+    return first_of_each(docs, marks, _rooted(marks), "fp")
