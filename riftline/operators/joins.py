@@ -35,14 +35,19 @@ def split_hot_join(
     The slices of ``rows`` are dealt out by row number, so equal rows spread too, and the matching
     ``other`` rows are repeated once per slice. ``hot`` names the keys to slice; it is counted from
     ``rows`` if it is not given, which reads them a second time. The hot keys are counted before they
-    are broadcast: past ``NAMED_KEYS`` of them they join as an ordinary table.
+    are broadcast: past ``NAMED_KEYS`` of them they join as an ordinary table. Row numbers depend on the
+    order in which rows arrive, so rows dealt to slices are written before the join: a task run again
+    must not deal them anew.
     """
     named = freeze(hot_keys(rows, on=on, hot_rows=hot_rows) if hot is None else hot)
-    if named.count() <= NAMED_KEYS:
+    sliced = named.count()
+    if sliced <= NAMED_KEYS:
         named = F.broadcast(named)
     many = F.coalesce(F.col("_slices"), F.lit(1))
     deal = F.when(F.col("_slices").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.monotonically_increasing_id()), many))
     dealt = rows.join(named, list(on), "left").withColumn("_slice", deal.cast("int"))
+    if sliced:
+        dealt = freeze(dealt)
     repeated = other.join(named, list(on), "left").withColumn(
         "_slice", F.explode(F.sequence(F.lit(0), many - 1))
     )

@@ -114,3 +114,11 @@ def test_every_hot_key_is_sliced(spark):
     assert joins.hot_keys(rows, on=["k"], hot_rows=2).count() == 2000
     other = spark.range(2000).select(F.col("id").alias("k"), F.col("id").alias("v"))
     assert joins.split_hot_join(rows, other, on=["k"], hot_rows=2).count() == 6000
+
+
+def test_hot_slices_are_pinned(frame):
+    """A task that runs again must not deal the rows of a hot key to other slices."""
+    rows = frame([("a", i) for i in range(50)] + [("b", 1)], "k string, n int").repartition(4, "n")
+    joined = joins.split_hot_join(rows, frame([("a", 7), ("b", 8)], "k string, m int"), on=["k"], hot_rows=10)
+    assert "monotonically" not in joined._jdf.queryExecution().toString()
+    assert sorted(tuple(r) for r in joined.select("k", "n", "m").collect()) == sorted([("a", i, 7) for i in range(50)] + [("b", 1, 8)])
