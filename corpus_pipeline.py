@@ -1,7 +1,7 @@
 """From raw documents to token ids: quality rules, near-duplicates, secrets, source mix, encoding.
 
 Each stage works on all that the one before kept, and its decisions take effect: rejected documents go, of each group of
-near-duplicates one document stays, secrets are replaced, sources are cut and repeated to their targets, and what is left
+SimHash near-duplicates (4-word shingles, 4 bits) one document stays, secrets are replaced, sources are cut and repeated to their targets, and what is left
 is encoded. Between stages the documents are written as Parquet and read again, which ends the lineage.
 """
 
@@ -17,7 +17,7 @@ from riftline.llm.quality import passing
 from riftline.llm.queries import rank_file, table
 from riftline.llm.secrets import fit_network, redact
 from riftline.llm.shared import stored
-from riftline.llm.similar import one_of_each
+from riftline.llm.simhash import one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,7 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of five-word shingles."""
+    """One document of each SimHash component: operator 9 with its contract's shingle of SHINGLE (4) words and links at
+    BITS (4) or fewer differing bits; the smallest doc_id of each component stays, no word-similarity check beside."""
     return one_of_each(docs)
 
 
