@@ -10,6 +10,7 @@ from riftline.llm.fingerprint import edited_fingerprints
 from riftline.llm.html import extract
 from riftline.llm.licenses import license_scan
 from riftline.llm.mixing import mix_report
+from riftline.llm.negatives import hard_negatives
 from riftline.llm.quality import quality_rules
 from riftline.llm.secrets import fit_network, scan
 from riftline.llm.simhash import near_duplicates
@@ -73,6 +74,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_html_extract": op2_html_extract,
@@ -84,6 +89,35 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
-ORACLES: dict[str, str] = {}
+OP13_SQL = """
+WITH v AS (
+    SELECT vec_id,
+           CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS lab,
+           list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS iv
+    FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(CAST(x AS DOUBLE)))) = 0
+), a AS (
+    SELECT row_number() OVER () AS arow, vec_id, lab, iv FROM v WHERE vec_id % 50 = 0
+), s AS (
+    SELECT a.arow, a.vec_id AS anchor_id, a.lab AS alab, v.vec_id AS cand_id, v.lab AS clab,
+           coalesce(list_sum(list_transform(range(1, greatest(len(a.iv), len(v.iv)) + 1),
+                                            lambda i: coalesce(a.iv[i], 0) * coalesce(v.iv[i], 0))), 0) AS score
+    FROM a CROSS JOIN v
+), p AS (
+    SELECT *, row_number() OVER (PARTITION BY arow ORDER BY score DESC, cand_id ASC NULLS LAST) AS place
+    FROM s WHERE clab = alab AND cand_id IS DISTINCT FROM anchor_id
+    QUALIFY place <= 5
+)
+SELECT p.anchor_id, p.cand_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.arow, p.place ORDER BY n.score DESC, n.cand_id ASC NULLS LAST) AS INTEGER) AS rank,
+       n.cand_id AS negative_id, CAST(p.score AS BIGINT) AS positive_score, CAST(n.score AS BIGINT) AS negative_score
+FROM p JOIN s AS n ON n.arow = p.arow AND n.clab <> p.alab
+                  AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+QUALIFY rank <= 3
+"""
+
+ORACLES: dict[str, str] = {"op13_hard_negatives": OP13_SQL}
