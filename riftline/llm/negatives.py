@@ -96,8 +96,7 @@ def rns_scores(anchors: np.ndarray, rows: np.ndarray, moduli: list[int]) -> np.n
     return np.where(x > radix // 2, x - radix, x)
 
 
-def _matrix(vectors: pd.Series) -> np.ndarray:
-    width = max((len(v) for v in vectors), default=0)
+def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(vectors), width), dtype=np.int64)
     for i, v in enumerate(vectors):
         out[i, : len(v)] = v
@@ -120,7 +119,8 @@ def _task(moduli: list[int], second: bool):
     def run(rows: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(rows) and len(anchors):
-            scores = rns_scores(_matrix(anchors["iv"]), _matrix(rows["iv"]), moduli)
+            width = max(len(v) for v in (*anchors["iv"], *rows["iv"]))
+            scores = rns_scores(_matrix(anchors["iv"], width), _matrix(rows["iv"], width), moduli)
             ids, missing = _ids(rows["vec_id"])
             rids = rows["rid"].to_numpy(dtype=np.int64)
             labels = rows["lab"].to_numpy(dtype=np.int64)
