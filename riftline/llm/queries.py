@@ -11,6 +11,7 @@ from riftline.llm.html import extract
 from riftline.llm.licenses import license_scan
 from riftline.llm.mixing import mix_report
 from riftline.llm.negatives import hard_negatives
+from riftline.llm.pii import fit_tagger, scan_pii
 from riftline.llm.quality import quality_rules
 from riftline.llm.secrets import fit_network, scan
 from riftline.llm.simhash import near_duplicates
@@ -74,6 +75,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scan_pii(docs, fit_tagger(docs))
+
+
 def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives(table(spark, sf_dir, "embeddings"))
 
@@ -89,6 +95,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op12_pii": op12_pii,
     "op13_hard_negatives": op13_hard_negatives,
 }
 
