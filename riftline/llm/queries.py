@@ -11,6 +11,7 @@ from riftline.llm.html import extract
 from riftline.llm.licenses import license_scan
 from riftline.llm.mixing import mix_report
 from riftline.llm.negatives import hard_negatives
+from riftline.llm.phrases import collocations
 from riftline.llm.pii import fit_tagger, scan_pii
 from riftline.llm.quality import quality_rules
 from riftline.llm.secrets import fit_network, scan
@@ -75,6 +76,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scan_pii(docs, fit_tagger(docs))
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_source_mix": op8_source_mix,
     "op9_simhash": op9_simhash,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
     "op12_pii": op12_pii,
     "op13_hard_negatives": op13_hard_negatives,
 }
