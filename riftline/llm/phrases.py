@@ -1,16 +1,20 @@
 """Phrase collocation mining (operator 11): an FM-index per shard over word ids, counts summed across shards.
 
 Texts are lower-cased in A-Z, cut into pieces at ``[.,;:!?\\n\\v\\f\\r]`` and pieces into words ``[^\\x20\\x09]+``; all
-counts are per lang (null: ``und``). Documents are written once with a row id and dealt to shards of about
+counts are per lang (null: ``und``). Documents get a row id at the scan and are dealt to shards of about
 ``SHARD_CHARS`` characters by a hash of that id, so neither a repeated doc_id nor a hot language fills one task.
 
-Pass 1 counts every word per (shard, lang) and Spark sums them: n per lang, and the words of 100 or more occurrences.
-Only those can stand in a phrase with a >= 100 (a phrase occurs at most as often as each of its words), so each shard
-receives its own list of frequent words by a join on (lang, word) and turns its text into a sequence of word ids in which
-pieces, and rare words, are separators. Pass 2 builds per (shard, lang) the suffix array of that sequence (prefix
-doubling), its Burrows-Wheeler transform and rank lists, and enumerates every n-gram of 1 to ``DEPTH`` words by backward
-interval extension (prepend a word: new interval = C[w] + rank(w, lo) .. C[w] + rank(w, hi)), the interval's width
-being the count. Spark sums the counts across shards (a map-side partial sum first), then forms the cuts, the scores in
+Pass 1 counts every word and every bigram per (shard, lang), summed per batch, and Spark sums them: n and the word
+counts per lang, and the bigrams of 100 or more occurrences. Bigrams are counted by a 64-bit hash: a collision can only
+add to a count, so the set of frequent bigrams can only grow, and the counts that reach the result are taken again
+exactly in pass 2. A phrase occurs at most as often as each bigram in it, so
+only phrases made of frequent bigrams can have a >= 100 or be a part of such a candidate; and every occurrence of such a
+phrase lies inside a run of frequent bigrams, so counting inside the runs is exact. Each shard receives its own list of
+frequent bigrams by a join on (lang, bigram) and turns its text into a sequence of word ids in which the runs stand
+between separators. Pass 2 builds per (shard, lang) the suffix array of that sequence (prefix doubling), its
+Burrows-Wheeler transform and LF mapping, and enumerates every n-gram of 2 to ``DEPTH`` words by backward interval
+extension (prepend a word w: new interval = C[w] + rank(w, lo) .. C[w] + rank(w, hi)), the interval's width being the
+count. Single words take their counts from pass 1. Spark sums the counts across shards (a map-side partial sum first), then forms the cuts, the scores in
 exact decimal arithmetic, the containment rule and the top ``TOP`` per lang with a group limit.
 
 Note on the method: only the backward (left) extension is used. Every n-gram up to ``DEPTH`` words is enumerated with its
@@ -29,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,7 @@ MIN_COUNT = 100
 SHORTEST, DEPTH = 2, 5
 TOP = 2000
 SHARD_CHARS = 8_000_000
+FLUSH = 262_144  # keys of partial counts a task holds before it passes them on
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
 WORD = re.compile(r"[^\x20\x09]+")
@@ -49,15 +55,39 @@ def pieces(text: str | None) -> list[list[str]]:
     return [WORD.findall(p) for p in PIECE.split(low)]
 
 
-def _word_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def pair_hash(a: str, b: str) -> int:
+    """Signed 64-bit hash of a bigram, as Spark's long holds it."""
+    return xxhash.xxh64_intdigest(f"{a} {b}") - (1 << 63)
+
+
+def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words (by the word) and of bigrams within pieces (by their 64-bit hash), per (shard, lang), summed until
+    ``FLUSH`` keys are held."""
+    names = ["shard", "lang", "word", "pair", "count"]
+    counts: dict[tuple, int] = {}
+
+    def flushed():
+        keys = list(counts)
+        return pd.DataFrame({
+            "shard": [k[0] for k in keys], "lang": [k[1] for k in keys], "word": [k[2] for k in keys],
+            "pair": pd.array([k[3] for k in keys], dtype="Int64"),  # built from the integers: no float on the way
+            "count": list(counts.values()),
+        }, columns=names)
+
     for frame in batches:
-        counts: dict[tuple, int] = {}
         for shard, lang, text in zip(frame["shard"], frame["lang"], frame["text"], strict=True):
             for piece in pieces(text):
                 for w in piece:
-                    key = (shard, lang, w)
+                    key = (shard, lang, w, None)
+                    counts[key] = counts.get(key, 0) + 1
+                for a, b in zip(piece, piece[1:]):
+                    key = (shard, lang, None, pair_hash(a, b))
                     counts[key] = counts.get(key, 0) + 1
-        yield pd.DataFrame([(*k, v) for k, v in counts.items()], columns=["shard", "lang", "word", "count"])
+            if len(counts) >= FLUSH:
+                yield flushed()
+                counts = {}
+    if counts:
+        yield flushed()
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
@@ -111,20 +141,35 @@ def ngram_counts(seq: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.n
 
 
 def _shard_ngrams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """n-grams of 2 to DEPTH words made of frequent bigrams only, with their counts in this shard."""
     out = []
     if len(left) and len(right):
         for lang, texts in left.groupby("lang", sort=False)["text"]:
-            vocab = right.loc[right["lang"] == lang, "word"].tolist()
-            if not vocab:
+            pairs = set(right.loc[right["lang"] == lang, "pair"].tolist())
+            if not pairs:
                 continue
-            ids = {w: i + 1 for i, w in enumerate(vocab)}
+            ids: dict[str, int] = {}
             seq = []
             for text in texts:
                 for piece in pieces(text):
-                    seq.extend(ids.get(w, 0) for w in piece)
-                    seq.append(0)
-            words = np.array(["", *vocab], dtype=object)
+                    run = False
+                    for a, b in zip(piece, piece[1:]):
+                        if pair_hash(a, b) in pairs:
+                            if not run:
+                                seq.append(ids.setdefault(a, len(ids) + 1))
+                            seq.append(ids.setdefault(b, len(ids) + 1))
+                            run = True
+                        elif run:
+                            seq.append(0)
+                            run = False
+                    if run:
+                        seq.append(0)
+            if not seq:
+                continue
+            words = np.array(["", *ids], dtype=object)
             for grams, counts in ngram_counts(np.array(seq, dtype=np.int64), DEPTH):
+                if grams.shape[1] < SHORTEST:
+                    continue
                 text = words[grams[:, 0]]
                 for j in range(1, grams.shape[1]):
                     text = text + " " + words[grams[:, j]]
@@ -137,18 +182,25 @@ def _shard_ngrams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 def collocations(docs: DataFrame) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the first ``TOP`` candidates of each lang."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    held = stored(docs.select(lang, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid")), "phrases_docs")
+    # the row id comes from the scan, which deals the same rows to the same shards when a task is run again
+    held = docs.select(lang, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
     chars = held.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = max(1, math.ceil(chars / SHARD_CHARS))
     dealt = held.select(F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"), "lang", "text")
-    words = stored(dealt.mapInPandas(_word_counts, "shard long, lang string, word string, count long"), "phrases_words")
-    totals = words.groupBy("lang", "word").agg(F.sum("count").alias("total"))
-    n = totals.groupBy("lang").agg(F.sum("total").alias("n"))
-    frequent = words.join(totals.filter(F.col("total") >= MIN_COUNT), ["lang", "word"], "left_semi").select("shard", "lang", "word")
+    partial = stored(dealt.mapInPandas(_gram_counts, "shard long, lang string, word string, pair long, count long"), "phrases_partial")
+    words = partial.filter(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("count").alias("f"))
+    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
+    often = partial.filter(F.col("pair").isNotNull()).groupBy("lang", "pair").agg(F.sum("count").alias("f")).filter(
+        F.col("f") >= MIN_COUNT
+    ).select("lang", "pair")
+    frequent = partial.filter(F.col("pair").isNotNull()).select("shard", "lang", "pair").join(
+        often, ["lang", "pair"], "left_semi"
+    ).distinct()
     grams = dealt.groupBy("shard").cogroup(frequent.groupBy("shard")).applyInPandas(
-        lambda left, right: _shard_ngrams(left, right), "lang string, phrase string, size int, count long"
+        _shard_ngrams, "lang string, phrase string, size int, count long"
     )
-    f = stored(grams.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f")), "phrases_counts")
+    longer = grams.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f"))
+    f = stored(words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer), "phrases_counts")
     cands = f.filter((F.col("size") >= SHORTEST) & (F.col("f") >= MIN_COUNT)).select(
         "lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w")
     )
