@@ -327,7 +327,9 @@ def _windows(seed: int):
 def fit_tagger(docs: DataFrame, *, windows: int = 2000, epochs: int = 30, seed: int = 12) -> Tagger:
     """The tagger trained on ``windows`` labelled windows (a bounded sample of all candidate windows, by hash)."""
     found_windows = docs.select("doc_id", "text").mapInPandas(_windows(seed), "key long, ids array<long>, tags array<long>")
-    drawn = found_windows.orderBy("key").limit(windows).collect()
+    # the threshold key of the sample first, so that only the drawn windows reach the driver
+    edge = found_windows.select("key").orderBy("key").limit(windows).agg(F.max("key")).first()[0]
+    drawn = [] if edge is None else sorted(found_windows.filter(F.col("key") <= edge).collect(), key=lambda r: r["key"])[:windows]
     tagger = Tagger.fresh(seed)
     if drawn:
         ids = np.array([r["ids"] for r in drawn], dtype=np.int64)
