@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.folds import col, fold_sum, uniform
+from riftline.operators.boosting import BoostedTrees, fit_hist_boosting
 from riftline.operators.evaluate import average_precision
 from riftline.operators.split import stratified_folds
 from riftline.operators.vectors import features_array
@@ -123,17 +124,19 @@ def boosted_settings(params: Mapping) -> dict:
     return out
 
 
+# Spark names that older callers pass, and the booster's settings they stand for.
+SPARK_NAMES = {"maxIter": "n_estimators", "maxDepth": "max_depth", "stepSize": "learning_rate"}
+
+
 def fit_boosted_trees(
     train: DataFrame, *, cols: Sequence[str], label: str, weight: str | None = None,
     pos_weight: float | None = None, **params,
-) -> Fitted:
-    """Boosted trees; ``pos_weight`` weighs class 1 against class 0."""
-    if pos_weight is not None:
-        weight = "_pos_weight"
-        share = F.when(col(label).cast("int") == 1, F.lit(float(pos_weight))).otherwise(F.lit(1.0))
-        train = train.withColumn(weight, share)
-    settings = {"seed": 42, **boosted_settings(params)}
-    return _fit(GBTClassifier(**settings), train, cols, label, weight)
+) -> BoostedTrees:
+    """Second-order histogram boosting (``riftline.operators.boosting``); ``pos_weight`` weighs class 1 against class 0.
+
+    All drawn settings take effect, the penalties ``reg_alpha`` and ``reg_lambda`` included."""
+    settings = {SPARK_NAMES.get(name, name): value for name, value in params.items()}
+    return fit_hist_boosting(train, cols=cols, label=label, weight=weight, pos_weight=pos_weight, **settings)
 
 
 def fit_mlp(
@@ -314,7 +317,7 @@ def _tune_balanced(dealt, cols, label, key, folds, trials, seed, space) -> Tuned
     return Tuned(params, score, results, fit(dealt, trees=params.get("numTrees", 100), **settings))
 
 
-FITS: dict[str, Callable[..., Fitted]] = {
+FITS: dict[str, Callable[..., Fitted | BoostedTrees]] = {
     "logistic": fit_logistic,
     "random_forest": fit_random_forest,
     "boosted_trees": fit_boosted_trees,

@@ -214,7 +214,7 @@ def select_model_threshold(
     **params,
 ) -> DataFrame:
     """Columns whose boosted-tree importance is at least the threshold."""
-    scores = fit_boosted_trees(df, cols=cols, label=label, seed=seed, **params).model.featureImportances.toArray()
+    scores = np.asarray(fit_boosted_trees(df, cols=cols, label=label, seed=seed, **params).featureImportances)
     level = {"median": np.median, "mean": np.mean}.get(threshold, lambda s: float(threshold))(scores)
     return _ranked(df, cols, scores, keep=scores >= level)
 
