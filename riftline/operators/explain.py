@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riftline.functions.folds import col, normal
+from riftline.operators.boosting import BoostedTrees, shapley_table
 from riftline.operators.models import Fitted
 from riftline.operators.ordering import hash_rank
 from riftline.operators.vectors import features_array
@@ -168,5 +169,11 @@ def shapley_values(
     )
 
 
+def tree_shapley_values(model: BoostedTrees, rows: DataFrame, *, key: str) -> DataFrame:
+    """Exact Shapley values of boosted trees (path-dependent, per tree, in polynomial time): ``key, feature, value``
+    in margin units; with the expected margin they add up to each row's margin."""
+    return shapley_table(model, rows, key=key).filter(F.col("feature") != "_base")
+
+
 def mean_abs_attribution(values: DataFrame, *, feature: str = "feature", value: str = "value") -> DataFrame:
     return values.groupBy(feature).agg(F.avg(F.abs(col(value))).alias("mean_abs"))

@@ -981,8 +981,7 @@ def local_surrogate(d: Data) -> DataFrame:
 
 def _attributed(d: Data) -> DataFrame:
     model, table = _explained(d)
-    means = table.agg(*[F.avg(c) for c in DOC_COLS]).first()
-    return explain.shapley_values(model, table, cols=DOC_COLS, key="doc_id", background=list(means))
+    return explain.tree_shapley_values(model, table, key="doc_id")
 
 
 @query
