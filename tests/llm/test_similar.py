@@ -6,7 +6,6 @@ import pytest
 
 pytest.importorskip("public_tokenizers")
 
-import corpus_pipeline  # noqa: E402
 from riftline.llm import similar  # noqa: E402
 from tests.llm.helpers import awkward, awkward_rows, nothing, prose, words  # noqa: E402
 
@@ -44,9 +43,10 @@ def edited():
     return rows
 
 
-def test_stage_takes_all_similar_documents(spark, frame):
+def test_one_of_each_takes_all_similar_documents(spark, frame):
+    # the pipeline's stage follows the SimHash contract (tests/llm/test_pipeline.py); this operator keeps its own
     rows = edited()
-    done = corpus_pipeline.near_duplicates(spark, frame(rows, "doc_id long, text string"), "")
+    done = similar.one_of_each(frame(rows, "doc_id long, text string"))
     want = plain_kept(rows)
     assert len(want) < len(rows)
     assert kept(done) == want
