@@ -5,11 +5,9 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier,
     LogisticRegression,
@@ -22,9 +20,10 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riftline.functions.folds import col, fold_sum, uniform
+from riftline.functions.folds import col
 from riftline.operators.boosting import BoostedTrees, fit_hist_boosting
 from riftline.operators.evaluate import average_precision
+from riftline.operators.forest import Forest, fit_hist_forest
 from riftline.operators.split import stratified_folds
 from riftline.operators.vectors import features_array
 
@@ -60,22 +59,6 @@ class Fitted:
         return predict_threshold(scored.select(*[col(c) for c in df.columns], "score"), cut=cut)
 
 
-class AveragedTrees:
-    """Several trees whose class-1 probabilities are averaged."""
-
-    def __init__(self, trees: Sequence):
-        self.trees = list(trees)
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        names = []
-        for n, tree in enumerate(self.trees):
-            names.append(f"_p{n}")
-            df = tree.transform(df).withColumn(names[-1], vector_to_array("probability")[1])
-            df = df.drop("rawPrediction", "probability", "prediction")
-        mean = fold_sum([F.col(c) for c in names]) / len(names)
-        return df.withColumn("probability", array_to_vector(F.array(1 - mean, mean))).drop(*names)
-
-
 def _fit(estimator, train: DataFrame, cols: Sequence[str], label: str, weight: str | None) -> Fitted:
     estimator.setFeaturesCol(VECTOR).setLabelCol(TARGET)
     if weight:
@@ -147,49 +130,18 @@ def fit_mlp(
     return _fit(MultilayerPerceptronClassifier(**{"layers": layers, "seed": 42, **params}), train, cols, label, None)
 
 
-def _poisson(rate: float, draw: Column) -> Column:
-    """Bootstrap multiplicity of a row: the inverse distribution at a uniform draw, up to the mass of a double."""
-    below, term, n = 0.0, math.exp(-rate), 0
-    out = F.when(F.lit(False), F.lit(0.0))
-    while below + term > below:
-        below += term
-        out = out.when(draw < below, F.lit(float(n)))
-        n += 1
-        term *= rate / n
-    return out.otherwise(F.lit(float(n)))
+# Spark names of forest settings, and the histogram forest's settings they stand for.
+FOREST_NAMES = {"maxDepth": "max_depth", "minInstancesPerNode": "min_instances", "featureSubsetStrategy": "features"}
 
 
 def fit_balanced_forest(
-    train: DataFrame, *, cols: Sequence[str], label: str, key: str, trees: int = 100, seed: int = 42,
-    parallelism: int = 8, **params,
-) -> Fitted:
-    """Trees on class-balanced bootstraps, each split over a sample of the features.
-
-    A row enters a bootstrap with a weight, not as copies: its multiplicity follows a Poisson draw
-    whose rate makes every class as large as the rarest.
-    """
-    counts = {r[0]: r[1] for r in train.groupBy(col(label).cast("double")).count().collect()}
-    least = min(counts.values())
-    rows = training_rows(train, cols, label, [key]).persist()
-
-    def grow(tree: int):
-        draw = uniform(col(key), F.lit(seed), F.lit(tree))
-        weight = F.lit(0.0)
-        for value, n in counts.items():
-            weight = F.when(F.col(TARGET) == value, _poisson(least / n, draw)).otherwise(weight)
-        estimator = RandomForestClassifier(
-            featuresCol=VECTOR, labelCol=TARGET, weightCol="_w", seed=seed + tree, numTrees=1, bootstrap=False,
-            **{"featureSubsetStrategy": "sqrt", **params},
-        )
-        return estimator.fit(rows.withColumn("_w", weight).filter("_w > 0"))
-
-    try:
-        # The trees do not depend on one another: several jobs run side by side.
-        with ThreadPoolExecutor(parallelism) as pool:
-            fitted = list(pool.map(inheritable_thread_target(train.sparkSession)(grow), range(trees)))
-    finally:
-        rows.unpersist()
-    return Fitted(AveragedTrees(fitted), list(cols))
+    train: DataFrame, *, cols: Sequence[str], label: str, key: str, trees: int = 100, seed: int = 42, **params,
+) -> Forest:
+    """Trees on class-balanced bootstraps, each split over a sample of the features, all grown together level by level
+    (``riftline.operators.forest``): a row enters a tree with a Poisson weight whose rate makes every class as large as
+    the rarest, and the jobs depend on the depth, not on the number of trees."""
+    settings = {FOREST_NAMES.get(name, name): value for name, value in params.items()}
+    return fit_hist_forest(train, cols=cols, label=label, key=key, trees=trees, seed=seed, **settings)
 
 
 # ---------------------------------------------------------------- parameter search
