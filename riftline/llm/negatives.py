@@ -3,12 +3,13 @@
 Every component x becomes the integer floor(256 * x). A score is the integer inner product of a row with an anchor.
 Scores are never formed in floating point: the integer matrices are reduced modulo several primes below 256, each pair of
 residue matrices is multiplied in float32 (every partial sum stays below 2 ** 24, so the product is exact), and the exact
-signed score is rebuilt from its residues by Chinese remaindering (Garner's mixed radix). The number of primes follows
-from a bound on all scores taken over the whole table.
+signed score is rebuilt from its residues by Chinese remaindering (Garner's mixed radix, with signed digits). The number
+of primes follows from a bound on all scores taken over the whole table.
 
 The work is a stated query set against all rows, in blocks: anchors (vec_id divisible by 50) fall into blocks of
 ``ANCHOR_BLOCK`` rows, all rows into blocks of ``ROW_BLOCK`` rows, and every pair of an anchor block and a row block meets
-in one task through an equi-join on (anchor block, row block). A task keeps, per anchor, its local leaders; Spark windows
+in one task through a cogroup on (anchor block, row block), all long on both sides: a cogroup casts nothing, and an int
+and a long of one value hash to different tasks. A task keeps, per anchor, its local leaders; Spark windows
 over the union of the local leaders then give the exact global choice. Two passes: the first picks each anchor's
 positives, the second, knowing the positives' scores, picks the negatives of each (anchor, positive).
 
@@ -22,8 +23,7 @@ Defined cases:
   several places; ties of score go to the smaller vec_id;
 - an anchor without positives, or a positive without qualifying negatives, gives no row;
 - an empty table gives an empty result; other columns (whatever their names) are ignored;
-- a table whose score bound passes 2 ** 54 raises ValueError (the scores would not fit the long columns with the
-  factor 100 of the range test).
+- a table whose score bound passes 2 ** 63 raises ValueError (the scores would not fit the long columns).
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riftline.llm.shared import stored
@@ -46,7 +46,7 @@ NEGATIVES = 3
 LOW, HIGH = 50, 95  # 50 * positive <= 100 * negative <= 95 * positive
 ANCHOR_BLOCK = 1024  # anchors a task holds
 ROW_BLOCK = 4096  # rows a task holds: a score matrix of 1024 x 4096 longs is 32 MB
-LIMIT = 2**54
+LIMIT = 2**63
 
 
 def primes_below(n: int) -> list[int]:
@@ -86,14 +86,18 @@ def rns_scores(anchors: np.ndarray, rows: np.ndarray, moduli: list[int]) -> np.n
             part = a[:, lo : lo + CHUNK] @ r[:, lo : lo + CHUNK].T  # exact: each sum < 2 ** 24
             acc = (acc + part.astype(np.int64)) % p
         residues.append(acc)
-    x = residues[0].copy()
-    radix = moduli[0]
-    for p, res in zip(moduli[1:], residues[1:], strict=True):
-        inverse = pow(radix % p, -1, p)
-        step = ((res - x % p) % p) * inverse % p
-        x = x + radix * step
+    digits = []
+    x, radix = np.zeros_like(residues[0]), 1
+    for at, (p, res) in enumerate(zip(moduli, residues, strict=True)):
+        seen = np.zeros_like(res)  # the number so far modulo p, from its highest digit down
+        for digit, q in zip(digits[::-1], moduli[:at][::-1], strict=True):
+            seen = (seen * q + digit) % p
+        step = (res - seen) % p * pow(radix, -1, p) % p
+        digits.append(np.where(step > p // 2, step - p, step))  # signed digits reach from -(product // 2) to product // 2
+        weight = radix & (2**64 - 1)
+        x = x + digits[-1] * np.int64(weight - 2**64 if weight >= 2**63 else weight)  # modulo 2 ** 64, where scores fit
         radix *= p
-    return np.where(x > radix // 2, x - radix, x)
+    return x
 
 
 def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
@@ -103,12 +107,6 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
-def _ids(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """(ids with nulls as 0, null flags) for sorting nulls after every id."""
-    missing = series.isna().to_numpy()
-    return series.fillna(0).to_numpy(dtype=np.int64), missing
-
-
 def _leaders(scores: np.ndarray, ids: np.ndarray, missing: np.ndarray, rids: np.ndarray, chosen: np.ndarray, k: int) -> np.ndarray:
     """Positions of the first k of ``chosen`` by score descending, then id ascending (nulls last), then rid."""
     order = np.lexsort((rids[chosen], ids[chosen], missing[chosen], -scores[chosen]))
@@ -121,7 +119,7 @@ def _task(moduli: list[int], second: bool):
         if len(rows) and len(anchors):
             width = max(len(v) for v in (*anchors["iv"], *rows["iv"]))
             scores = rns_scores(_matrix(anchors["iv"], width), _matrix(rows["iv"], width), moduli)
-            ids, missing = _ids(rows["vec_id"])
+            ids, missing = rows["vec_id"].to_numpy(dtype=np.int64), rows["unnamed"].to_numpy(dtype=bool)
             rids = rows["rid"].to_numpy(dtype=np.int64)
             labels = rows["lab"].to_numpy(dtype=np.int64)
             for a in range(len(anchors)):
@@ -130,16 +128,18 @@ def _task(moduli: list[int], second: bool):
                 if not second:
                     same = np.nonzero((labels == anchor["lab"]) & (missing | (ids != anchor["vec_id"])))[0]
                     for i in _leaders(s, ids, missing, rids, same, POSITIVES):
-                        out.append((anchor["rid"], rows["vec_id"].iat[i], int(rids[i]), int(s[i])))
+                        out.append((anchor["rid"], None if missing[i] else int(ids[i]), int(rids[i]), int(s[i])))
                     continue
                 other = labels != anchor["lab"]
                 for place, ps in zip(anchor["places"], anchor["pscores"], strict=True):
-                    fits = np.nonzero(other & (LOW * ps <= 100 * s) & (100 * s <= HIGH * ps))[0]
+                    low, high = -(-LOW * int(ps) // 100), HIGH * int(ps) // 100  # in Python integers: no overflow
+                    fits = np.nonzero(other & (s >= low) & (s <= high))[0]
                     for i in _leaders(s, ids, missing, rids, fits, NEGATIVES):
-                        out.append((anchor["rid"], int(place), rows["vec_id"].iat[i], int(rids[i]), int(s[i])))
+                        out.append((anchor["rid"], int(place), None if missing[i] else int(ids[i]), int(rids[i]), int(s[i])))
         names = ["anchor_rid", "place", "cand_id", "cand_rid", "score"] if second else ["anchor_rid", "cand_id", "cand_rid", "score"]
         kinds = {name: "int64" for name in names} | {"cand_id": "Int64"} | ({"place": "int32"} if second else {})
-        return pd.DataFrame(out, columns=names).astype(kinds)
+        columns = zip(*out) if out else [()] * len(names)
+        return pd.DataFrame({name: pd.array(list(c), dtype=kinds[name]) for name, c in zip(names, columns, strict=True)})
 
     return run
 
@@ -152,12 +152,13 @@ def _clean(table: DataFrame) -> DataFrame:
         & parts.isNotNull()
         & F.forall(parts, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
     )
-    lab = F.when(F.col("vec_id") % RELABEL_EVERY == 0, (F.col("label") + 1) % N_LABELS).otherwise(F.col("label"))
+    label = F.col("label").cast("long")
+    lab = F.when(F.col("vec_id") % RELABEL_EVERY == 0, (label + 1) % N_LABELS).otherwise(label)
     scaled = F.transform(parts, lambda x: x.cast("double") * SCALE)
     return stored(
         table.filter(valid).select(
             F.col("vec_id").cast("long").alias("vec_id"),
-            lab.cast("long").alias("lab"),
+            lab.alias("lab"),
             F.transform(scaled, lambda y: F.floor(y)).alias("iv"),
             # bounds in double, before the cast to long could saturate
             F.aggregate(scaled, F.lit(0.0), lambda acc, y: acc + F.abs(F.floor(y))).alias("l1"),
@@ -184,18 +185,25 @@ def hard_negatives(embeddings: DataFrame) -> DataFrame:
         return spark.createDataFrame([], schema)
     bound = int(stats["l1"] or 0) * int(stats["linf"] or 0)
     if bound >= LIMIT:
-        raise ValueError(f"scores may reach {bound}, past the supported 2 ** 54")
-    moduli = moduli_for(bound)
+        raise ValueError(f"scores may reach {bound}, past the supported 2 ** 63")
+    moduli = moduli_for(bound + bound // 2**32)  # the sums of absolute values are doubles
     row_blocks = math.ceil(n / ROW_BLOCK)
     anchor_blocks = math.ceil(n_anchors / ANCHOR_BLOCK)
     body = rows.select("rid", "vec_id", "lab", "iv")
     anchors = body.filter(F.col("vec_id") % ANCHOR_EVERY == 0)
-    block = F.pmod(F.xxhash64("rid"), F.lit(row_blocks))
-    held = body.select("*", block.alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(anchor_blocks - 1))).alias("ab"))
-    asking = F.pmod(F.xxhash64("rid"), F.lit(anchor_blocks)).alias("ab")
+
+    def own(blocks: int) -> Column:
+        return F.pmod(F.xxhash64("rid"), F.lit(blocks).cast("long"))
+
+    def every(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+
+    # pandas would turn ids with nulls into doubles
+    named = body.withColumns({"unnamed": F.col("vec_id").isNull(), "vec_id": F.coalesce("vec_id", F.lit(0).cast("long"))})
+    held = named.select("*", own(row_blocks).alias("rb"), every(anchor_blocks).alias("ab"))
 
     def meet(side: DataFrame, second: bool, out: str) -> DataFrame:
-        spread = side.select("*", asking, F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))).alias("rb"))
+        spread = side.select("*", own(anchor_blocks).alias("ab"), every(row_blocks).alias("rb"))
         return held.groupBy("ab", "rb").cogroup(spread.groupBy("ab", "rb")).applyInPandas(_task(moduli, second), out)
 
     ahead = Window.partitionBy("anchor_rid").orderBy(

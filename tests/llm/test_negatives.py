@@ -103,3 +103,33 @@ def test_residue_product_is_exact():
 def test_bound_too_large(spark, frame):
     with pytest.raises(ValueError):
         hard_negatives(frame([(50, [1e9] * 64, 1, "x", "x", "x", 1.0, 1), (51, [1e9] * 64, 1, "x", "x", "x", 1.0, 1)], SCHEMA)).count()
+
+
+def random_rows(spread, ids, width=6, labels=(0, 1, 2, 3)):
+    draw = np.random.default_rng(8)
+    return [(i, [float(x) for x in draw.normal(0, spread, width).astype(np.float32)], int(draw.choice(labels))) for i in ids]
+
+
+@pytest.mark.parametrize("rows", [
+    random_rows(0.3, range(-60, 240)),
+    random_rows(1e5, range(0, 200), 8),  # scores past 2 ** 54
+    random_rows(0.3, [2**60 // 50 * 50 + i for i in range(200)] + [None] * 4),  # ids that no double holds, beside nulls
+    random_rows(0.3, range(0, 200), labels=(-3, 0, 9)),
+], ids=["many tasks", "large scores", "large ids", "negative labels"])
+def test_blocks_meet_in_many_tasks(spark, frame, monkeypatch, rows):
+    monkeypatch.setattr(negatives, "ANCHOR_BLOCK", 2)
+    monkeypatch.setattr(negatives, "ROW_BLOCK", 17)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "false")  # as on larger tables, where the tasks are not joined into one
+    try:
+        got = collected(hard_negatives(frame(rows, "vec_id long, embedding array<float>, label int")))
+    finally:
+        spark.conf.set(setting, before)
+    assert got == brute(rows)
+    assert len(got) > 20
+
+
+def test_largest_label(frame):
+    rows = [(0, [1.0], 2**31 - 1), (50, [1.0], 8), (51, [1.0], 8), (52, [0.75], 1)]
+    assert collected(hard_negatives(frame(rows, "vec_id long, embedding array<float>, label int"))) == brute(rows)
