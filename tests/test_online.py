@@ -152,3 +152,49 @@ def test_label_stream(spark, frame, tmp_path):
         "checkpointLocation", str(tmp_path / "c")
     ).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.k for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [n for n in range(20) if n != 3]
+
+
+@pytest.mark.parametrize("chunk", [50, 8, 1000])
+def test_steps_in_chunks(timeline, monkeypatch, chunk):
+    """Several chunks, steps larger than a chunk, and one chunk give the weights of the steps done by hand."""
+    monkeypatch.setattr(online, "CHUNK_ROWS", chunk)
+    train, test = timeline.filter("id < 40"), timeline.filter("id >= 40")
+    got = online.online_incremental_batched(train, test, frequency=20, rate=0.1, l2=0.0, **GIVEN).orderBy("i").collect()
+    rows = test.orderBy("id").toPandas()
+    states = by_hand(rows, online.initial_weights(train, cols=["a", "b"], label="y"), [range(n, n + 20) for n in range(0, 100, 20)], 0.1)
+    assert len(got) == 120 and {r.learned for r in got} == {0, 20, 40, 60, 80, 100}
+    for r in got:
+        w, x = states[r.learned // 20], rows.loc[r.i, ["a", "b"]].to_numpy(dtype=float)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(x @ w[:2] + w[2]))))
+
+
+def jobs_of(spark, work):
+    name = f"jobs-{id(work)}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        work()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_jobs_do_not_grow_with_steps(spark, timeline):
+    def run(batch):
+        return lambda: online.prequential_logistic(timeline, order=["id"], cols=["a", "b"], label="y", k=3, batch=batch)
+
+    assert jobs_of(spark, run(1)) < jobs_of(spark, run(40)) + 20  # 160 steps against 4
+
+
+def test_live_batch_is_one_pass(spark, timeline, tmp_path):
+    live = LiveLogistic(str(tmp_path), cols=["a", "b"], label="y", start=np.zeros(3), rate=0.5, l2=0.1)
+    live._learn(timeline, 0)
+    assert jobs_of(spark, lambda: live._learn(timeline, 1)) == 2  # the scored rows and the weights
+    rows = timeline.orderBy("id").toPandas()
+    w = by_hand(rows, np.zeros(3), [range(160)], 0.5)[-1]
+    got = spark.read.parquet(f"{tmp_path}/weights/batch=0").first().weights
+    assert np.allclose(got, w)
+    x = np.c_[rows[["a", "b"]].to_numpy(), np.ones(160)]
+    w = w - 0.5 * (x.T @ (1 / (1 + np.exp(-x @ w)) - rows.y.to_numpy()) / 160 + 0.1 * np.r_[w[:2], 0])
+    assert np.allclose(spark.read.parquet(f"{tmp_path}/weights/batch=1").first().weights, w)
+    with pytest.raises(ValueError):
+        live._learn(timeline.withColumn("y", F.lit(None).cast("int")), 2)
