@@ -121,3 +121,27 @@ def test_cluster_aggregate_skips_missing(frame):
     )
     out = cluster_aggregate(df, keys=["hash"], cluster="c", features=["x"], info=["i", "type"], order=["i"])
     assert sorted((r.i, r.type, r.x, r.contains_bug) for r in out.collect()) == [(0, "t", 2.0, True), (2, "u", None, False)]
+
+
+def test_counts_share_passes(frame):
+    """The counts of single-row rules come from one pass and equal the rows each rule leaves."""
+    rows = [
+        (n, "p", f"src/{'UserType' if n % 7 == 0 else 'A'}.java", f"C{n % 5}", "class", None if n % 4 == 0 else n % 3 == 0,
+         1_700_000_000 + n * 3600, None if n % 6 == 0 else float(n % 5), float(n % 2), float(n % 4), float(n % 3), float(n % 3))
+        for n in [*range(60), *range(10)]
+    ]
+    df = frame(rows, "hash int, project string, file string, class string, type string, contains_bug boolean, "
+                     "author_date_unix_timestamp long, la double, ld double, wmc double, rfc double, totalFieldsQty double")
+    df = df.withColumn("author_date_unix_timestamp", F.timestamp_seconds("author_date_unix_timestamp"))
+    for rules in ((0, 2, 3, 5, 8, 10, 11), (5, 0, 8, 11), (), (8, 5)):
+        config = clean.CleanConfig(rules=rules, project="project", gap_recent=2 * 3600)
+        steps, table, want = clean._steps(config, df.columns), df, [(0, None, 70, None)]
+        for at, number in enumerate(rules, 1):
+            table = steps[number](table)
+            n = table.count()
+            want.append((at, number, n, want[-1][2] - n))
+        got = clean.clean_counts(df, config=config)
+        assert [tuple(r) for r in got.orderBy("step").collect()] == want
+    wide = clean.clean_counts(df, config=clean.CleanConfig(rules=(3, 4, 5, 8, 10, 11), project="project"))
+    plan = wide._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # one pass
