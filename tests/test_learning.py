@@ -6,6 +6,7 @@ from riftline.operators.clean import CleanConfig
 from riftline.plans import training
 from riftline.functions.folds import normal, uniform
 from riftline.operators import evaluate, explain, models, resample, select
+from riftline.operators import neighbours
 from riftline.operators.neighbours import knn_join
 
 COLS = ["noise", "signal", "copy", "flat"]
@@ -110,6 +111,24 @@ def test_knn_is_exact(frame, same, pivots, block, shape):
     assert got == brute(left, right, 4, same)
 
 
+def test_small_cells_share_a_block(frame):
+    sizes, anchors = np.array([3, 4, 9, 2, 30]), np.array([[0.0], [10.0], [1.0], [11.0], [50.0]])
+    group = neighbours._grouped(sizes, anchors, 12)
+    assert group[0] == group[2] and group[1] == group[3] and len(set(group)) == 3
+    rows = np.random.default_rng(8).normal(size=(200, 2)) + np.repeat(np.arange(10) * 9, 20)[:, None]
+    table = frame([(n, [float(x) for x in p]) for n, p in enumerate(rows)], "id long, features array<double>").repartition(3)
+    got = {}
+    for r in neighbours.knn_join(table, table, k=4, exclude_self=True, pivots=16, block=60).orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append((r.neighbour, round(r.distance, 9)))
+    assert got == brute(dict(enumerate(rows)), dict(enumerate(rows)), 4, True)
+
+
+def test_limits_keep_enough():
+    rough = np.random.default_rng(2).normal(size=(50, 1000))
+    limit = neighbours._limits(rough, 6)
+    assert ((rough <= limit[:, None]).sum(axis=1) >= 6).all()
+
+
 def test_fewer_rows_than_k(frame):
     df = frame([(1, [0.0]), (2, [1.0])], "id long, features array<double>")
     assert knn_join(df, df, k=5, exclude_self=True).count() == 2
