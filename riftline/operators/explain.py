@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from riftline.functions.folds import col, normal
 from riftline.operators.boosting import BoostedTrees, shapley_table
 from riftline.operators.models import Fitted
 from riftline.operators.ordering import hash_rank
-from riftline.operators.vectors import features_array
+from riftline.operators.vectors import features_array, matrix_of
 
 
 def _names(cols: Sequence[str]) -> Column:
@@ -89,41 +90,65 @@ def local_surrogate(
 ) -> DataFrame:
     """A weighted linear fit around each row: ``key, feature, weight, rank`` for the strongest features.
 
-    Each row is perturbed by the spread of the training data and scored in one distributed pass; only
-    the small fit over the fixed number of samples of one row runs in Python.
+    Each row is perturbed by the spread of the training data and scored in one distributed pass. The samples go no
+    further than their batch: what is shuffled is one small table of weighted sums per row, from which many rows are
+    solved at a time.
     """
     p = len(cols)
     row = train.agg(*[F.stddev_pop(col(c).cast("double")).alias(f"s{n}") for n, c in enumerate(cols)]).first()
-    spread = F.array(*[F.lit(float(v or 0.0)) for v in row])
-    noise = F.transform(
-        F.sequence(F.lit(0), F.lit(p - 1)),
-        lambda n: F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(
-            normal(col(key), F.col("_s"), n, F.lit(seed))
-        ),
-    )
+    spread = [float(v or 0.0) for v in row]
+    noise = F.array(*[
+        F.when(F.col("_s") == 0, F.lit(0.0)).otherwise(normal(col(key), F.col("_s"), F.lit(n), F.lit(seed))) for n in range(p)
+    ])
     around = (
         rows.select(col(key), features_array(cols).alias("_x0"), F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).alias("_s"))
         .withColumn("_z", noise)
-        .withColumn("_x", F.zip_with("_x0", F.zip_with("_z", spread, lambda z, s: z * s), lambda a, b: a + b))
+        .withColumn("_x", F.array(*[F.col("_x0")[n] + F.col("_z")[n] * F.lit(s) for n, s in enumerate(spread)]))
     )
-    scored = model.score(around, vector=F.col("_x")).select(col(key), "_z", "score")
+    scored = model.score(around, vector=F.col("_x")).select(col(key).alias("_key"), "_z", "score")
     width = (0.75 * np.sqrt(p)) ** 2
     names = list(cols)
 
-    def fit(group: pd.DataFrame) -> pd.DataFrame:
-        z = np.stack(group["_z"].to_numpy())
-        weight = np.exp(-(z**2).sum(axis=1) / width)
-        x = np.c_[z, np.ones(len(z))]
-        normal_matrix = (x * weight[:, None]).T @ x + ridge * np.diag(np.r_[np.ones(p), 0.0])
-        beta = np.linalg.solve(normal_matrix, (x * weight[:, None]).T @ group["score"].to_numpy())[:p]
-        order = np.lexsort((np.arange(p), -np.abs(beta)))[:top]
-        return pd.DataFrame({
-            key: group[key].iloc[0], "feature": [names[n] for n in order], "weight": beta[order],
-            "rank": np.arange(1, len(order) + 1),
-        })
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per key of a batch the weighted products of the samples with one another and with the score."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            known = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            codes = known.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            z, score = matrix_of(batch.column(1))[order], batch.column(2).to_numpy(zero_copy_only=False)[order]
+            weighted = np.c_[z, np.ones(len(z))]
+            right = np.c_[weighted, score]
+            weighted *= np.exp(-(z**2).sum(axis=1) / width)[:, None]
+            ends = np.cumsum(np.bincount(codes, minlength=len(known.dictionary)))
+            found = np.stack([weighted[a:b].T @ right[a:b] for a, b in zip(np.r_[0, ends[:-1]], ends)])
+            offsets = pa.array(np.arange(len(ends) + 1) * (p + 1) * (p + 2), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [known.dictionary, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], names=["_key", "_sums"]
+            )
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                total = np.stack([np.sum(parts, axis=0) for parts in part.column(1).to_pylist()]).reshape(-1, p + 1, p + 2)
+                normal_matrix = total[:, :, : p + 1] + ridge * np.diag(np.r_[np.ones(p), 0.0])
+                beta = np.linalg.solve(normal_matrix, total[:, :, p + 1 :])[:, :p, 0]
+                order = np.argsort(-np.abs(beta), axis=1, kind="stable")[:, :top]
+                n, kept = order.shape
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(pa.array(np.repeat(np.arange(n), kept))), pa.array([names[f] for f in order.ravel()], pa.string()),
+                     pa.array(np.take_along_axis(beta, order, axis=1).ravel()), pa.array(np.tile(np.arange(1, kept + 1), n), pa.int32())],
+                    names=[key, "feature", "weight", "rank"],
+                )
 
     kind = rows.schema[key].dataType.simpleString()
-    return scored.groupBy(key).applyInPandas(fit, f"`{key}` {kind}, feature string, weight double, rank int")
+    # The parts of a key are put in order, so that their sum does not depend on the shuffle.
+    together = scored.mapInArrow(sums, f"_key {kind}, _sums array<double>").groupBy("_key").agg(
+        F.array_sort(F.collect_list("_sums")).alias("_sums")
+    )
+    return together.mapInArrow(fit, f"`{key}` {kind}, feature string, weight double, rank int")
 
 
 def shapley_values(

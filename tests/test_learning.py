@@ -264,3 +264,29 @@ def test_run_outputs(spark, frame, tmp_path):
     row = spark.read.option("header", "true").csv(str(tmp_path / "run/report")).first()
     assert (row.date_precision, row.online_precision) == ("0.5", "0.25")
     assert spark.read.json(str(tmp_path / "run/params")).first().param == "maxDepth"
+
+
+def test_local_surrogate_of_repeated_and_missing_keys(frame):
+    """All samples of a key are fitted together, also where several rows or no row name it."""
+    rng = np.random.default_rng(4)
+    train = frame([(n, float(x), float(z), int(x > 0)) for n, (x, z) in enumerate(rng.normal(size=(200, 2)))], "id int, x double, z double, y int")
+    model = models.fit_boosted_trees(train, cols=["x", "z"], label="y", n_estimators=2, max_depth=2)
+    rows = frame([(1, 0.5, 0.1), (1, -0.5, 0.3), (None, 0.2, 0.2), (2, None, 0.4)], "id int, x double, z double")
+    found = explain.local_surrogate(model, rows, cols=["x", "z"], key="id", train=train, samples=50)
+    # No sample is shuffled: the exchange carries one table of sums per key.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroups" not in plan and "MapInArrow" in plan
+    got = {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r.id, []).append(r.weight)
+    assert sorted(got, key=str) == [1, 2, None] and all(len(v) == 2 and abs(v[0]) >= abs(v[1]) for v in got.values())
+    noise = F.array(*[F.when(F.col("s") == 0, 0.0).otherwise(normal(F.col("id"), F.col("s"), F.lit(n), F.lit(42))) for n in range(2)])
+    spread = train.agg(F.stddev_pop("x"), F.stddev_pop("z")).first()
+    samples = rows.select("id", "x", "z", F.explode(F.sequence(F.lit(0), F.lit(49))).alias("s")).withColumn("n", noise)
+    moved = samples.select("id", "n", (F.col("x") + F.col("n")[0] * spread[0]).alias("x"), (F.col("z") + F.col("n")[1] * spread[1]).alias("z"))
+    mine = [r for r in model.score(moved).collect() if r.id == 1]
+    z = np.array([r.n for r in mine])
+    w = np.exp(-(z**2).sum(axis=1) / (0.75**2 * 2))
+    x = np.c_[z, np.ones(len(z))]
+    beta = np.linalg.solve((x * w[:, None]).T @ x + np.diag([1.0, 1.0, 0.0]), (x * w[:, None]).T @ np.array([r.score for r in mine]))[:2]
+    assert got[1] == pytest.approx(sorted(beta, key=lambda v: -abs(v)))
