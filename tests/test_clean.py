@@ -145,3 +145,27 @@ def test_counts_share_passes(frame):
     wide = clean.clean_counts(df, config=clean.CleanConfig(rules=(3, 4, 5, 8, 10, 11), project="project"))
     plan = wide._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 1  # one pass
+
+
+def test_rows_are_dealt_by_their_number(frame, monkeypatch):
+    """Twice the rows, twice the tasks for the rules that hold whole rows; the rows kept are the same."""
+    monkeypatch.setattr(clean, "ROWS_PER_TASK", 20)
+    config = clean.CleanConfig(rules=(0, 2), project="project", tie=("hash", "file"))
+    schema = "project string, hash int, file string, class string, author_date_unix_timestamp timestamp, contains_bug boolean"
+    day = dt.datetime(2020, 1, 1)
+
+    def table(n):
+        rows = [("p", i, "f", None if i % 7 == 0 else f"c{i % 9}", day + dt.timedelta(days=i), i % 5 == 0) for i in range(n)]
+        return frame([*rows, *rows[:10]], schema)
+
+    def parts(n):
+        return clean._spread(table(n), config).rdd.getNumPartitions()
+
+    assert (parts(5), parts(90), parts(190)) == (table(5).rdd.getNumPartitions(), 5, 10)
+    spread = kept_rows(clean.clean_dataset(table(90), config=config))
+    monkeypatch.setattr(clean, "ROWS_PER_TASK", 1_000)
+    assert spread == kept_rows(clean.clean_dataset(table(90), config=config)) and len(spread) < 90
+
+
+def kept_rows(df):
+    return sorted(tuple(map(str, r)) for r in df.collect())
