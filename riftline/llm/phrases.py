@@ -1,24 +1,25 @@
 """Phrase collocation mining (operator 11): an FM-index per shard over word ids, counts summed across shards.
 
 Texts are lower-cased in A-Z, cut into pieces at ``[.,;:!?\\n\\v\\f\\r]`` and pieces into words ``[^\\x20\\x09]+``; all
-counts are per lang (null: ``und``). Documents get a row id at the scan and are dealt to shards of about
-``SHARD_CHARS`` characters by a hash of that id, so neither a repeated doc_id nor a hot language fills one task.
-
-Pass 1 counts every word and every bigram per (shard, lang), summed per batch, and Spark sums them: n and the word
-counts per lang, and the bigrams of 100 or more occurrences. Bigrams are counted by a 64-bit hash: a collision can only
-add to a count, so the set of frequent bigrams can only grow, and the counts that reach the result are taken again
-exactly in pass 2. A phrase occurs at most as often as each bigram in it, so
-only phrases made of frequent bigrams can have a >= 100 or be a part of such a candidate; and every occurrence of such a
-phrase lies inside a run of frequent bigrams, so counting inside the runs is exact. Each shard receives its own list of
-frequent bigrams by a join on (lang, bigram) and turns its text into a sequence of word ids in which the runs stand
-between separators. Pass 2 builds per (shard, lang) the suffix array of that sequence (prefix doubling), its
-Burrows-Wheeler transform and LF mapping, and enumerates every n-gram of 2 to ``DEPTH`` words by backward interval
-extension (prepend a word w: new interval = C[w] + rank(w, lo) .. C[w] + rank(w, hi)), the interval's width being the
-count. Single words take their counts from pass 1. Spark sums the counts across shards (a map-side partial sum first), then forms the cuts, the scores in
-exact decimal arithmetic, the containment rule and the top ``TOP`` per lang with a group limit.
-
-Note on the method: only the backward (left) extension is used. Every n-gram up to ``DEPTH`` words is enumerated with its
-count, so the counts of a phrase's left and right parts are read from the same table; right extensions add nothing.
+counts are per lang (null: ``und``). A task cuts its rows into shards of about ``SHARD_CHARS`` bytes, so neither a repeated
+doc_id nor a hot language fills one task. A shard is one row, written once: its words (by lang and text), their counts,
+and its text as a sequence of word ids with separators between pieces.
+
+A phrase occurs at most as often as each of its parts, so phrases are counted by length, shortest first, and only those are
+counted whose shorter parts all occur ``MIN_COUNT`` times. One such round: every shard builds the suffix array of its sequence
+(prefix doubling), its Burrows-Wheeler transform and LF mapping, and enumerates its n-grams by backward interval extension
+(prepend a word w: the interval moves to C[w] + rank(w, lo) .. C[w] + rank(w, hi)), the interval's width being the count; it
+sends a 64-bit hash and the count of each, packed by ranges of hashes; a range adds up its hashes and tells each shard
+which of its own reach ``MIN_COUNT``. A collision can only add to a count, so the set of frequent n-grams can only grow.
+Rounds: words; words in pairs; threes; fours and fives. After the first two a shard keeps only its runs of frequent words,
+then of frequent pairs. The last step enumerates the frequent n-grams again, as text with their exact counts in the shard,
+and these are summed by text: no hash decides a count that reaches the result. Within a shard
+equal hashes of words are compared byte by byte. Spark then forms the cuts, the scores in exact decimal arithmetic, the
+containment rule and the top ``TOP`` per lang with a group limit.
+
+Note on the method: only the backward (left) extension is used. Every frequent n-gram up to ``DEPTH`` words is enumerated
+with its count, and the parts of a candidate are as frequent as itself, so the counts of a phrase's left and right parts are
+read from the same table; right extensions add nothing.
 
 Defined cases: a null text is empty; a null lang is ``und``; repeated rows count as often as they occur; very long texts
 are read whole; an empty table gives an empty result; other columns are ignored; ties of score and a are ordered by the
@@ -29,25 +30,46 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riftline.llm.blocks import Block, blocks, mix, powers
 from riftline.llm.shared import stored
 
 MIN_COUNT = 100
 SHORTEST, DEPTH = 2, 5
 TOP = 2000
 SHARD_CHARS = 8_000_000
-FLUSH = 262_144  # keys of partial counts a task holds before it passes them on
+RANGE_SHARDS = 8  # a range of hashes holds about as many n-grams as this number of shards
+SLICE = 1 << 18  # words whose bytes are looked at in one step
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
 WORD = re.compile(r"[^\x20\x09]+")
 
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A"):ord("Z") + 1] += 32
+KIND = np.zeros(256, dtype=np.uint8)  # of a byte: 0 in a word, 1 between words, 2 between pieces
+KIND[[0x20, 0x09]] = 1
+KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
+
+SHARD = "shard long, langs array<string>, totals array<long>, seq binary, words binary, lengths binary, lang_of binary, counts binary"
+PACKED = "bucket long, level int, shard long, keys binary, counts binary"
+BOTH = (
+    "shard long, langs array<string>, seq binary, hashes binary, words array<string>, lang_of binary, counts binary, "
+    "bucket long, level int, keys binary"
+)
+COLUMNS = [part.split()[0] for part in BOTH.split(", ")]  # the first seven are those of a shard's runs
+LISTS = "shard long, level int, keys binary"
+TEXTS = "bucket long, lang string, phrases string, counts binary"
+GRAMS = "lang string, phrase string, f long, size int"
+
 
 def pieces(text: str | None) -> list[list[str]]:
     """The words of each piece of a text."""
@@ -55,152 +77,402 @@ def pieces(text: str | None) -> list[list[str]]:
     return [WORD.findall(p) for p in PIECE.split(low)]
 
 
-def pair_hash(a: str, b: str) -> int:
-    """Signed 64-bit hash of a bigram, as Spark's long holds it."""
-    return xxhash.xxh64_intdigest(f"{a} {b}") - (1 << 63)
-
-
-def _gram_counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (by the word) and of bigrams within pieces (by their 64-bit hash), per (shard, lang), summed until
-    ``FLUSH`` keys are held."""
-    names = ["shard", "lang", "word", "pair", "count"]
-    counts: dict[tuple, int] = {}
-
-    def flushed():
-        keys = list(counts)
-        return pd.DataFrame({
-            "shard": [k[0] for k in keys], "lang": [k[1] for k in keys], "word": [k[2] for k in keys],
-            "pair": pd.array([k[3] for k in keys], dtype="Int64"),  # built from the integers: no float on the way
-            "count": list(counts.values()),
-        }, columns=names)
-
-    for frame in batches:
-        for shard, lang, text in zip(frame["shard"], frame["lang"], frame["text"], strict=True):
-            for piece in pieces(text):
-                for w in piece:
-                    key = (shard, lang, w, None)
-                    counts[key] = counts.get(key, 0) + 1
-                for a, b in zip(piece, piece[1:]):
-                    key = (shard, lang, None, pair_hash(a, b))
-                    counts[key] = counts.get(key, 0) + 1
-            if len(counts) >= FLUSH:
-                yield flushed()
-                counts = {}
-    if counts:
-        yield flushed()
-
-
-def suffix_array(seq: np.ndarray) -> np.ndarray:
-    """Suffix array of an integer sequence by prefix doubling."""
+def packed(values: np.ndarray) -> bytes:
+    """Integers below 2 ** 32, all their first bytes, then all second ones: the codec of files and shuffles finds the zeros."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+
+
+def _bytes_of(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where the bytes of some words are, which byte of its word each is, and where each word's bytes begin among them."""
+    begin = np.cumsum(length) - length
+    place = np.arange(int(length.sum())) - np.repeat(begin, length)
+    return np.repeat(start, length) + place, place, begin
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash per word of one byte or more; equal words have equal hashes."""
+    out = np.empty(len(start), dtype=np.uint64)
+    for low in range(0, len(start), SLICE):
+        size = length[low:low + SLICE]
+        at, place, begin = _bytes_of(start[low:low + SLICE], size)
+        value = (data[at].astype(np.uint64) + np.uint64(1)) * powers(0x100000001B3, int(size.max()))[place]
+        out[low:low + SLICE] = np.add.reduceat(value, begin) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mix(out)
+
+
+def _in_lang(hashes: np.ndarray, langs: Sequence[str], lang_of: np.ndarray) -> np.ndarray:
+    seeds = np.array([xxhash.xxh64_intdigest(lang) for lang in langs], dtype=np.uint64)
+    return mix(hashes ^ seeds[lang_of])
+
+
+def _same_words(data: np.ndarray, start: np.ndarray, length: np.ndarray, other: np.ndarray) -> bool:
+    """Whether every word equals the word numbered ``other``."""
+    if (length != length[other]).any():
+        return False
+    for low in range(0, len(start), SLICE):
+        size = length[low:low + SLICE]
+        at, place, _ = _bytes_of(start[low:low + SLICE], size)
+        if (data[at] != data[np.repeat(start[other[low:low + SLICE]], size) + place]).any():
+            return False
+    return True
+
+
+def _numbered(data: np.ndarray, start: np.ndarray, length: np.ndarray, langs: Sequence[str], lang_of: np.ndarray):
+    """(the number of each word, the first place of each number): numbers stand for a word of a lang, the most frequent first."""
+    hashes = _in_lang(word_hashes(data, start, length), langs, lang_of)
+    first, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)[1:]
+    if (lang_of != lang_of[first[inverse]]).any() or not _same_words(data, start, length, first[inverse]):
+        held: dict[tuple[int, bytes], int] = {}  # two words share a hash
+        inverse = np.array([
+            held.setdefault((g, data[s:s + n].tobytes()), len(held))
+            for g, s, n in zip(lang_of.tolist(), start.tolist(), length.tolist(), strict=True)
+        ], dtype=np.int64)
+        first, counts = np.unique(inverse, return_index=True, return_counts=True)[1:]
+    order = np.argsort(-counts, kind="stable")
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    return number[inverse], first[order], counts[order]
+
+
+def sequence(words: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """Runs of word ids between zeros; ``linked`` tells whether a word follows the one before. Words without a neighbour go."""
+    inside = linked.copy()
+    inside[:-1] |= linked[1:]
+    words, fresh = words[inside], ~linked[inside]
+    out = np.zeros(len(words) + int(fresh.sum()) + 1, dtype=np.int64)
+    out[np.arange(len(words)) + np.cumsum(fresh)] = words
+    return out
+
+
+def links(seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a sequence, and whether each follows the one before."""
+    at = np.flatnonzero(seq)
+    return seq[at], (at > 0) & (seq[at - 1] != 0)
+
+
+def _shard(number: int, held: Sequence[tuple[Block, pa.Array]]) -> dict:
+    """One row of ``SHARD``."""
+    data = LOWER[np.concatenate([b.data for b, _ in held])]
+    size = np.cumsum([0, *[len(b.data) for b, _ in held]])
+    at = np.concatenate([b.at[:-1] + s for (b, _), s in zip(held, size[:-1], strict=True)])
+    named = pa.concat_arrays([g for _, g in held]).dictionary_encode()
+    langs = named.dictionary.to_pylist()
+    kind = KIND[data]
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[at] = True
+    begins[-1] = True
+    gap = np.ones(len(data) + 2, dtype=bool)  # of the byte before, from the first on
+    gap[1:-1] = kind != 0
+    start = np.flatnonzero((kind == 0) & (gap[:-2] | begins[:-1]))
+    end = np.flatnonzero((kind == 0) & (gap[2:] | begins[1:])) + 1
+    row = np.searchsorted(at, start, side="right") - 1
+    cuts = np.zeros(len(data) + 1, dtype=np.int32)
+    np.cumsum(kind == 2, out=cuts[1:])
+    linked = np.zeros(len(start), dtype=bool)
+    linked[1:] = (row[1:] == row[:-1]) & (cuts[start[1:]] == cuts[end[:-1]])
+    del kind, begins, gap, cuts
+    lang_of, length = named.indices.to_numpy()[row].astype(np.int64), end - start
+    ids, first, counts = _numbered(data, start, length, langs, lang_of)
+    return {
+        "shard": number, "langs": langs, "totals": np.bincount(lang_of, minlength=len(langs)).tolist(),
+        "seq": packed(sequence(ids + 1, linked)), "words": data[_bytes_of(start[first], length[first])[0]].tobytes(),
+        "lengths": packed(length[first]), "lang_of": packed(lang_of[first]), "counts": packed(counts),
+    }
+
+
+SHARD_ARROW = pa.schema([
+    ("shard", pa.int64()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64())), ("seq", pa.binary()),
+    ("words", pa.binary()), ("lengths", pa.binary()), ("lang_of", pa.binary()), ("counts", pa.binary()),
+])
+
+
+def _shards_of(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        held, total = [], 0
+
+        def row():
+            return pa.RecordBatch.from_pylist([_shard(number, held)], schema=SHARD_ARROW)
+
+        for batch in batches:
+            for part, block in blocks(batch, "text", size):
+                held.append((block, part.column(part.schema.get_field_index("lang")).cast(pa.string())))
+                total += len(block.data)
+                if total >= size:
+                    yield row()
+                    number, held, total = number + 1, [], 0
+        if total:
+            yield row()
+
+    return run
+
+
+def _spread(shard: int, level: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[dict]:
+    """Rows of ``PACKED``: hashes and counts of a shard by ranges of hashes."""
+    bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    keys, counts = keys[order], counts[order]
+    bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    for b in np.flatnonzero(np.diff(bounds)).tolist():
+        s = slice(bounds[b], bounds[b + 1])
+        yield {"bucket": b, "level": level, "shard": shard, "keys": keys[s].tobytes(), "counts": packed(counts[s])}
+
+
+def _dictionary(shard: Mapping) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, lengths, lang numbers, hashes) of the words of a shard."""
+    data, length, lang_of = np.frombuffer(shard["words"], dtype=np.uint8), unpacked(shard["lengths"]), unpacked(shard["lang_of"])
+    start = np.cumsum(length) - length
+    return data, start, length, lang_of, _in_lang(word_hashes(data, start, length), list(shard["langs"]), lang_of)
+
+
+def _word_counts(buckets: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for shard in frame.to_dict("records"):
+                rows = list(_spread(shard["shard"], 1, _dictionary(shard)[-1], unpacked(shard["counts"]), buckets))
+                if rows:
+                    yield pd.DataFrame(rows)
+
+    return run
+
+
+def _frequent(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of the hashes in one range, those which reach ``least`` over all shards, told to every shard that has them."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        held = [np.frombuffer(k, dtype=np.uint64) for k in frame["keys"]]
+        keys, counts = np.concatenate(held), np.concatenate([unpacked(c) for c in frame["counts"]])
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
+        often = np.zeros(len(keys), dtype=bool)
+        often[order] = np.repeat(np.add.reduceat(counts[order], first) >= least, np.diff(np.append(first, len(keys))))
+        parts = np.split(often, np.cumsum([len(k) for k in held])[:-1])
+        rows = [
+            (shard, level, k[m].tobytes())
+            for shard, level, k, m in zip(frame["shard"], frame["level"], held, parts, strict=True) if m.any()
+        ]
+        return pd.DataFrame(rows, columns=["shard", "level", "keys"]).astype({"shard": "int64", "level": "int32"})
+
+    return run
+
+
+def _lists(frame: pd.DataFrame) -> dict[int, np.ndarray]:
+    """The frequent hashes of a shard by length, sorted."""
+    return {
+        int(level): np.unique(np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in keys]))
+        for level, keys in frame.groupby("level")["keys"]
+    }
+
+
+def among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(held, keys)
+    at[at == len(held)] = 0
+    return held[at] == keys if len(held) else np.zeros(len(keys), dtype=bool)
+
+
+def _frequent_words(shard: Mapping, often: Mapping[int, np.ndarray]) -> dict:
+    """The runs of a shard: its frequent words, renumbered, and the sequence of those that stand beside another."""
+    data, start, length, lang_of, hashes = _dictionary(shard)
+    keep = among(hashes, often[1])
+    number = np.zeros(len(keep) + 1, dtype=np.int64)
+    number[1:][keep] = np.arange(1, int(keep.sum()) + 1)
+    words, linked = links(unpacked(shard["seq"]))
+    words = number[words]
+    linked[1:] &= (words[1:] != 0) & (words[:-1] != 0)
+    return {
+        "shard": shard["shard"], "langs": list(shard["langs"]), "seq": packed(sequence(words, linked)), "hashes": hashes[keep].tobytes(),
+        "words": [data[s:s + n].tobytes().decode() for s, n in zip(start[keep].tolist(), length[keep].tolist(), strict=True)],
+        "lang_of": packed(lang_of[keep]), "counts": packed(unpacked(shard["counts"])[keep]),
+    }
+
+
+def _frequent_pairs(shard: Mapping, often: Mapping[int, np.ndarray]) -> dict:
+    """The same runs, parted where two neighbours are no frequent pair."""
+    words, linked = links(unpacked(shard["seq"]))
+    pairs = np.stack([words[:-1], words[1:]], axis=1)
+    linked[1:] &= among(gram_hashes(pairs, np.frombuffer(shard["hashes"], dtype=np.uint64)), often[2])
+    return {**{c: shard[c] for c in COLUMNS[:7]}, "langs": list(shard["langs"]), "words": list(shard["words"]), "seq": packed(sequence(words, linked))}
+
+
+def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
+    """Suffix array of an integer sequence by prefix doubling, ordered by the first ``depth`` integers or more."""
     n = len(seq)
     if n == 0:
         return np.zeros(0, dtype=np.int64)
-    rank = np.unique(seq, return_inverse=True)[1].astype(np.int64)
-    k = 1
+    rank, k = seq, 1
     while True:
-        second = np.full(n, -1, dtype=np.int64)
-        second[: n - k] = rank[k:] if k < n else second[:0]
-        order = np.lexsort((second, rank))
-        a, b = rank[order], second[order]
-        change = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        fresh = np.empty(n, dtype=np.int64)
-        fresh[order] = np.cumsum(change) - 1
-        rank = fresh
-        if change.all() or k >= n:
-            return order
+        key = rank * (int(rank.max()) + 2)
+        key[: n - k] += rank[k:] + 1 if k < n else 0
+        order = np.argsort(key)
         k *= 2
+        if k >= min(depth, n):
+            return order
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.cumsum(np.concatenate([[0], np.diff(key[order]) != 0]))
+
 
+def gram_hashes(grams: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(grams), dtype=np.uint64)
+    for j in range(grams.shape[1]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[grams[:, j] - 1])
+    return out
 
-def ngram_counts(seq: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(n-grams of word ids as a matrix, their counts) for each length 1 to ``depth``, none holding the separator 0.
+
+def ngram_counts(
+    seq: np.ndarray, hashes: np.ndarray, often: Mapping[int, np.ndarray], depth: int
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams of word ids as a matrix, their counts) for each length 1 to ``depth``, none holding the separator 0 and none
+    whose parts are known not to be in ``often``.
 
     Backward extension over the FM-index of ``seq``, all nodes of one length at once: the SA intervals of distinct
     n-grams of one length are disjoint, so each SA position carries the node it lies in, and prepending the word
-    bwt[p] moves position p to LF(p) = C[bwt[p]] + rank(bwt[p], p), inside the child's interval."""
+    bwt[p] moves position p to LF(p) = C[bwt[p]] + rank(bwt[p], p), inside the child's interval. Suffixes are ordered by
+    ``depth`` words at least, so LF is read from the inverse of the suffix array."""
     n = len(seq)
-    if n == 0:
-        return
-    sa = suffix_array(seq)
-    bwt = np.where(sa > 0, seq[sa - 1], 0)
-    order = np.argsort(bwt, kind="stable")  # positions grouped by their BWT symbol, in SA order: the LF mapping
-    lf = np.empty(n, dtype=np.int64)
-    lf[order] = np.arange(n)
+    sa = suffix_array(seq, depth)
+    inverse = np.empty(n, dtype=np.int64)
+    inverse[sa] = np.arange(n)
+    bwt, lf = seq[sa - 1], inverse[sa - 1]
+    bwt[sa == 0] = 0
     node = np.zeros(n, dtype=np.int64)  # every position lies in the root, the empty n-gram
     grams = np.zeros((1, 0), dtype=np.int64)
-    for _ in range(depth):
+    for size in range(1, depth + 1):
         live = (node >= 0) & (bwt != 0)
-        key = node[live] * (int(seq.max()) + 1) + bwt[live]
-        kinds, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
-        if not len(kinds):
+        parent = np.full(n, -1, dtype=np.int64)
+        parent[lf[live]] = node[live]
+        at = np.flatnonzero(parent >= 0)  # the children's intervals, in SA order
+        if not len(at):
             return
-        parent, symbol = kinds // (int(seq.max()) + 1), kinds % (int(seq.max()) + 1)
-        grams = np.concatenate([symbol[:, None], grams[parent]], axis=1)
-        yield grams, counts
+        symbol, parent = seq[sa[at]], parent[at]
+        change = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (parent[1:] != parent[:-1])])
+        first = np.flatnonzero(change)
+        grams = np.concatenate([symbol[first, None], grams[parent[first]]], axis=1)
+        counts = np.diff(np.append(first, len(at)))
+        if size in often:
+            kept = among(gram_hashes(grams, hashes), often[size])
+        elif size - 1 in often:
+            kept = among(gram_hashes(grams[:, :-1], hashes), often[size - 1])
+        else:
+            kept = np.ones(len(grams), dtype=bool)
+        child = np.where(kept, np.cumsum(kept) - 1, -1)
         node = np.full(n, -1, dtype=np.int64)
-        node[lf[live]] = inverse
-
-
-def _shard_ngrams(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """n-grams of 2 to DEPTH words made of frequent bigrams only, with their counts in this shard."""
-    out = []
-    if len(left) and len(right):
-        for lang, texts in left.groupby("lang", sort=False)["text"]:
-            pairs = set(right.loc[right["lang"] == lang, "pair"].tolist())
-            if not pairs:
-                continue
-            ids: dict[str, int] = {}
-            seq = []
-            for text in texts:
-                for piece in pieces(text):
-                    run = False
-                    for a, b in zip(piece, piece[1:]):
-                        if pair_hash(a, b) in pairs:
-                            if not run:
-                                seq.append(ids.setdefault(a, len(ids) + 1))
-                            seq.append(ids.setdefault(b, len(ids) + 1))
-                            run = True
-                        elif run:
-                            seq.append(0)
-                            run = False
-                    if run:
-                        seq.append(0)
-            if not seq:
-                continue
-            words = np.array(["", *ids], dtype=object)
-            for grams, counts in ngram_counts(np.array(seq, dtype=np.int64), DEPTH):
-                if grams.shape[1] < SHORTEST:
+        node[at] = child[np.cumsum(change) - 1]
+        grams, counts = grams[kept], counts[kept]
+        yield grams, counts
+
+
+def _ngrams(shard: Mapping, often: Mapping[int, np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    return ngram_counts(unpacked(shard["seq"]), np.frombuffer(shard["hashes"], dtype=np.uint64), often, depth)
+
+
+def _gram_counts(shard: Mapping, often: Mapping[int, np.ndarray], sizes: tuple[int, int], buckets: int) -> Iterator[dict]:
+    hashes = np.frombuffer(shard["hashes"], dtype=np.uint64)
+    for grams, counts in _ngrams(shard, often, sizes[1]):
+        if grams.shape[1] >= sizes[0]:
+            yield from _spread(shard["shard"], grams.shape[1], gram_hashes(grams, hashes), counts, buckets)
+
+
+def _narrowed(narrow: Callable, size: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """A shard's narrower runs, and beside them the counts of its n-grams of ``size`` words."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left) and len(right):  # a shard without frequent n-grams one shorter has none of these
+            shard = narrow(left.iloc[0], _lists(right))
+            rows = [{**shard, "bucket": -1, "level": 0}, *_gram_counts(shard, {}, (size, size), buckets)]
+        return pd.DataFrame([[row.get(c) for c in COLUMNS] for row in rows], columns=COLUMNS, dtype=object)  # None stays None
+
+    return run
+
+
+def _longest(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """Counts of the n-grams of four words and more."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = list(_gram_counts(left.iloc[0], _lists(right), (4, DEPTH), buckets)) if len(left) and len(right) else []
+        return pd.DataFrame(rows, columns=["bucket", "level", "shard", "keys", "counts"])
+
+    return run
+
+
+def _phrases(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
+    """The frequent words and n-grams of a shard as text, one to a line, with their counts in it, by lang and range."""
+
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(left):
+            shard, often = left.iloc[0], _lists(right) if len(right) else {}
+            hashes, lang_of = np.frombuffer(shard["hashes"], dtype=np.uint64), unpacked(shard["lang_of"])
+            words = np.array(["", *shard["words"]], dtype=object)
+            singles = (np.arange(1, len(words))[:, None], unpacked(shard["counts"]))
+            for grams, counts in [singles, *_ngrams(shard, often, max(often, default=SHORTEST))]:
+                if grams is not singles[0] and grams.shape[1] < SHORTEST:
                     continue
                 text = words[grams[:, 0]]
                 for j in range(1, grams.shape[1]):
                     text = text + " " + words[grams[:, j]]
-                out.append(pd.DataFrame({"lang": lang, "phrase": text, "size": grams.shape[1], "count": counts}))
-    if out:
-        return pd.concat(out, ignore_index=True).astype({"size": "int32", "count": "int64"})
-    return pd.DataFrame({"lang": [], "phrase": [], "size": [], "count": []}).astype({"lang": object, "phrase": object, "size": "int32", "count": "int64"})
+                bucket = ((gram_hashes(grams, hashes) >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+                place = lang_of[grams[:, 0] - 1] * buckets + bucket
+                order = np.argsort(place, kind="stable")
+                kinds, first = np.unique(place[order], return_index=True)
+                for kind, part in zip(kinds.tolist(), np.split(order, first[1:]), strict=True):
+                    rows.append((kind % buckets, shard["langs"][kind // buckets], "\n".join(text[part]), packed(counts[part])))
+        return pd.DataFrame(rows, columns=["bucket", "lang", "phrases", "counts"])
 
+    return run
 
-def collocations(docs: DataFrame) -> DataFrame:
-    """lang, rank, phrase, a, l, r, n, score: the first ``TOP`` candidates of each lang."""
+
+def _totals(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        text = [p for part in frame["phrases"] for p in part.split("\n")]  # no word holds a line break
+        f = pd.Series(np.concatenate([unpacked(c) for c in frame["counts"]])).groupby(np.array(text, dtype=object)).sum()
+        f = f[f >= least]
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "phrase": f.index, "f": f.to_numpy()}).assign(
+            size=[p.count(" ") + 1 for p in f.index]
+        ).astype({"f": "int64", "size": "int32"})
+
+    return run
+
+
+def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, f) of all words and phrases of up to ``DEPTH`` words with f of ``least`` or more, and n per lang."""
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")
-    # the row id comes from the scan, which deals the same rows to the same shards when a task is run again
-    held = docs.select(lang, F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("rid"))
-    chars = held.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(1, math.ceil(chars / SHARD_CHARS))
-    dealt = held.select(F.pmod(F.xxhash64("rid"), F.lit(shards)).alias("shard"), "lang", "text")
-    partial = stored(dealt.mapInPandas(_gram_counts, "shard long, lang string, word string, pair long, count long"), "phrases_partial")
-    words = partial.filter(F.col("word").isNotNull()).groupBy("lang", "word").agg(F.sum("count").alias("f"))
-    n = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    often = partial.filter(F.col("pair").isNotNull()).groupBy("lang", "pair").agg(F.sum("count").alias("f")).filter(
-        F.col("f") >= MIN_COUNT
-    ).select("lang", "pair")
-    frequent = partial.filter(F.col("pair").isNotNull()).select("shard", "lang", "pair").join(
-        often, ["lang", "pair"], "left_semi"
-    ).distinct()
-    grams = dealt.groupBy("shard").cogroup(frequent.groupBy("shard")).applyInPandas(
-        _shard_ngrams, "lang string, phrase string, size int, count long"
+    held = docs.select(lang, F.col("text").cast("string").alias("text"))
+    shards = stored(held.mapInArrow(_shards_of(SHARD_CHARS), SHARD), "phrases_shards")
+    n = shards.select(F.explode(F.arrays_zip("langs", "totals")).alias("t")).groupBy(F.col("t.langs").alias("lang")).agg(
+        F.sum("t.totals").alias("n")
     )
-    longer = grams.groupBy("lang", "phrase", "size").agg(F.sum("count").alias("f"))
-    f = stored(words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("size"), "f").unionByName(longer), "phrases_counts")
+    buckets = max(1, math.ceil(shards.count() / RANGE_SHARDS))
+
+    def frequent(counted: DataFrame, name: str) -> DataFrame:
+        return stored(counted.groupBy("bucket", "level").applyInPandas(_frequent(least), LISTS), name)
+
+    dictionaries = shards.select("shard", "langs", "words", "lengths", "lang_of", "counts")
+    words = frequent(dictionaries.mapInPandas(_word_counts(buckets), PACKED), "phrases_often_1")
+
+    def narrowed(left: DataFrame, lists: DataFrame, narrow: Callable, size: int) -> tuple[DataFrame, DataFrame]:
+        both = stored(
+            left.groupBy("shard").cogroup(lists.groupBy("shard")).applyInPandas(_narrowed(narrow, size, buckets), BOTH), f"phrases_runs_{size}"
+        )
+        counted = both.filter(F.col("bucket") >= 0).select("bucket", "level", "shard", "keys", "counts")
+        return both.filter(F.col("bucket") < 0).select(*COLUMNS[:7]), frequent(counted, f"phrases_often_{size}")
+
+    runs, pairs = narrowed(shards.drop("totals"), words, _frequent_words, 2)
+    runs, often = narrowed(runs, pairs, _frequent_pairs, 3)
+    longest = runs.select("shard", "seq", "hashes").groupBy("shard").cogroup(often.groupBy("shard")).applyInPandas(_longest(buckets), PACKED)
+    often = often.unionByName(frequent(longest, "phrases_often_4"))
+    text = runs.groupBy("shard").cogroup(often.groupBy("shard")).applyInPandas(_phrases(buckets), TEXTS)
+    return stored(text.groupBy("bucket", "lang").applyInPandas(_totals(least), GRAMS), "phrases_counts"), n
+
+
+def collocations(docs: DataFrame) -> DataFrame:
+    """lang, rank, phrase, a, l, r, n, score: the first ``TOP`` candidates of each lang."""
+    f, n = phrase_counts(docs, MIN_COUNT)
     cands = f.filter((F.col("size") >= SHORTEST) & (F.col("f") >= MIN_COUNT)).select(
         "lang", "phrase", "size", F.col("f").alias("a"), F.split("phrase", " ").alias("w")
     )
