@@ -11,9 +11,8 @@ counted whose shorter parts all occur ``MIN_COUNT`` times. One such round: every
 (prepend a word w: the interval moves to C[w] + rank(w, lo) .. C[w] + rank(w, hi)), the interval's width being the count; it
 sends a 64-bit hash and the count of each, packed by ranges of hashes; a range adds up its hashes and tells each shard
 which of its own reach ``MIN_COUNT``. A collision can only add to a count, so the set of frequent n-grams can only grow.
-Rounds: words; words in pairs; threes; fours and fives. After the first two a shard keeps only its runs of frequent words,
-then of frequent pairs. The last step enumerates the frequent n-grams again, as text with their exact counts in the shard,
-and these are summed by text: no hash decides a count that reaches the result. Within a shard
+Rounds: words; words in pairs; threes; fours and fives. The last one enumerates the frequent n-grams again, as text with
+their exact counts in the shard, and these are summed by text: no hash decides a count that reaches the result. Within a shard
 equal hashes of words are compared byte by byte. Spark then forms the cuts, the scores in exact decimal arithmetic, the
 containment rule and the top ``TOP`` per lang with a group limit.
 
@@ -48,7 +47,10 @@ SHORTEST, DEPTH = 2, 5
 TOP = 2000
 SHARD_CHARS = 8_000_000
 RANGE_SHARDS = 8  # a range of hashes holds about as many n-grams as this number of shards
+KEY_BYTES = 6  # of a hash that travels; fewer bytes could only let more n-grams pass as frequent
+KEY = np.uint64((1 << 8 * KEY_BYTES) - 1)
 SLICE = 1 << 18  # words whose bytes are looked at in one step
+ROUNDS = ((2, 2), (3, 3), (4, DEPTH))  # the lengths counted together
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PIECE = re.compile(r"[.,;:!?\x0A-\x0D]")
 WORD = re.compile(r"[^\x20\x09]+")
@@ -60,12 +62,8 @@ KIND[[0x20, 0x09]] = 1
 KIND[[*b".,;:!?", *range(0x0A, 0x0E)]] = 2
 
 SHARD = "shard long, langs array<string>, totals array<long>, seq binary, words binary, lengths binary, lang_of binary, counts binary"
+RUNS = "shard long, langs array<string>, seq binary, hashes binary, words array<string>, lang_of binary, counts binary"
 PACKED = "bucket long, level int, shard long, keys binary, counts binary"
-BOTH = (
-    "shard long, langs array<string>, seq binary, hashes binary, words array<string>, lang_of binary, counts binary, "
-    "bucket long, level int, keys binary"
-)
-COLUMNS = [part.split()[0] for part in BOTH.split(", ")]  # the first seven are those of a shard's runs
 LISTS = "shard long, level int, keys binary"
 TEXTS = "bucket long, lang string, phrases string, counts binary"
 GRAMS = "lang string, phrase string, f long, size int"
@@ -77,14 +75,28 @@ def pieces(text: str | None) -> list[list[str]]:
     return [WORD.findall(p) for p in PIECE.split(low)]
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Integers below 2 ** 32, all their first bytes, then all second ones: the codec of files and shuffles finds the zeros."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def packed(values: np.ndarray, width: int = 4) -> bytes:
+    """Integers below 256 ** ``width``: all their first bytes, then all second ones, under zstd."""
+    data = values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+    return len(data).to_bytes(8, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(data, dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").reshape(-1).astype(np.int64)
+def unpacked(data: bytes, width: int = 4) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    out = np.zeros((size // width, 8), dtype=np.uint8)
+    if size:
+        planes = pa.decompress(data[8:], decompressed_size=size, codec="zstd", asbytes=True)
+        out[:, :width] = np.frombuffer(planes, dtype=np.uint8).reshape(width, -1).T
+    return out.view("<i8").reshape(-1)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted hashes, as steps."""
+    return packed(np.diff(keys, prepend=np.uint64(0)), KEY_BYTES)
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data, KEY_BYTES)).astype(np.uint64)
 
 
 def _bytes_of(start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -214,13 +226,15 @@ def _shards_of(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
 
 def _spread(shard: int, level: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> Iterator[dict]:
     """Rows of ``PACKED``: hashes and counts of a shard by ranges of hashes."""
+    keys = keys & KEY
+    order = np.argsort(keys)
     bucket = (keys >> np.uint64(20)) % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = order[np.argsort(bucket[order], kind="stable")]
     keys, counts = keys[order], counts[order]
     bounds = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
     for b in np.flatnonzero(np.diff(bounds)).tolist():
         s = slice(bounds[b], bounds[b + 1])
-        yield {"bucket": b, "level": level, "shard": shard, "keys": keys[s].tobytes(), "counts": packed(counts[s])}
+        yield {"bucket": b, "level": level, "shard": shard, "keys": packed_keys(keys[s]), "counts": packed(counts[s])}
 
 
 def _dictionary(shard: Mapping) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -245,7 +259,7 @@ def _frequent(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Of the hashes in one range, those which reach ``least`` over all shards, told to every shard that has them."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        held = [np.frombuffer(k, dtype=np.uint64) for k in frame["keys"]]
+        held = [unpacked_keys(k) for k in frame["keys"]]
         keys, counts = np.concatenate(held), np.concatenate([unpacked(c) for c in frame["counts"]])
         order = np.argsort(keys)
         first = np.flatnonzero(np.concatenate([[True], np.diff(keys[order]) != 0]))
@@ -253,7 +267,7 @@ def _frequent(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         often[order] = np.repeat(np.add.reduceat(counts[order], first) >= least, np.diff(np.append(first, len(keys))))
         parts = np.split(often, np.cumsum([len(k) for k in held])[:-1])
         rows = [
-            (shard, level, k[m].tobytes())
+            (shard, level, packed_keys(k[m]))
             for shard, level, k, m in zip(frame["shard"], frame["level"], held, parts, strict=True) if m.any()
         ]
         return pd.DataFrame(rows, columns=["shard", "level", "keys"]).astype({"shard": "int64", "level": "int32"})
@@ -264,39 +278,38 @@ def _frequent(least: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 def _lists(frame: pd.DataFrame) -> dict[int, np.ndarray]:
     """The frequent hashes of a shard by length, sorted."""
     return {
-        int(level): np.unique(np.concatenate([np.frombuffer(k, dtype=np.uint64) for k in keys]))
+        int(level): np.unique(np.concatenate([unpacked_keys(k) for k in keys]))
         for level, keys in frame.groupby("level")["keys"]
     }
 
 
 def among(keys: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which keys, as far as they travel, are in the sorted ``held``."""
+    keys = keys & KEY
     at = np.searchsorted(held, keys)
     at[at == len(held)] = 0
     return held[at] == keys if len(held) else np.zeros(len(keys), dtype=bool)
 
 
-def _frequent_words(shard: Mapping, often: Mapping[int, np.ndarray]) -> dict:
-    """The runs of a shard: its frequent words, renumbered, and the sequence of those that stand beside another."""
+def _runs(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Rows of ``RUNS``: a shard's frequent words, renumbered, and its runs of them."""
+    out = pd.DataFrame(columns=["shard", "langs", "seq", "hashes", "words", "lang_of", "counts"])
+    if not len(left) or not len(right):
+        return out
+    shard = left.iloc[0]
     data, start, length, lang_of, hashes = _dictionary(shard)
-    keep = among(hashes, often[1])
+    keep = among(hashes, _lists(right)[1])
     number = np.zeros(len(keep) + 1, dtype=np.int64)
     number[1:][keep] = np.arange(1, int(keep.sum()) + 1)
     words, linked = links(unpacked(shard["seq"]))
     words = number[words]
     linked[1:] &= (words[1:] != 0) & (words[:-1] != 0)
-    return {
-        "shard": shard["shard"], "langs": list(shard["langs"]), "seq": packed(sequence(words, linked)), "hashes": hashes[keep].tobytes(),
-        "words": [data[s:s + n].tobytes().decode() for s, n in zip(start[keep].tolist(), length[keep].tolist(), strict=True)],
-        "lang_of": packed(lang_of[keep]), "counts": packed(unpacked(shard["counts"])[keep]),
-    }
-
-
-def _frequent_pairs(shard: Mapping, often: Mapping[int, np.ndarray]) -> dict:
-    """The same runs, parted where two neighbours are no frequent pair."""
-    words, linked = links(unpacked(shard["seq"]))
-    pairs = np.stack([words[:-1], words[1:]], axis=1)
-    linked[1:] &= among(gram_hashes(pairs, np.frombuffer(shard["hashes"], dtype=np.uint64)), often[2])
-    return {**{c: shard[c] for c in COLUMNS[:7]}, "langs": list(shard["langs"]), "words": list(shard["words"]), "seq": packed(sequence(words, linked))}
+    out.loc[0] = [
+        shard["shard"], list(shard["langs"]), packed(sequence(words, linked)), hashes[keep].tobytes(),
+        [data[s:s + n].tobytes().decode() for s, n in zip(start[keep].tolist(), length[keep].tolist(), strict=True)],
+        packed(lang_of[keep]), packed(unpacked(shard["counts"])[keep]),
+    ]
+    return out
 
 
 def suffix_array(seq: np.ndarray, depth: int) -> np.ndarray:
@@ -366,35 +379,28 @@ def ngram_counts(
         yield grams, counts
 
 
-def _ngrams(shard: Mapping, often: Mapping[int, np.ndarray], depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    return ngram_counts(unpacked(shard["seq"]), np.frombuffer(shard["hashes"], dtype=np.uint64), often, depth)
-
+def _index(left: pd.DataFrame, right: pd.DataFrame, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``ngram_counts`` of a shard's runs of frequent words or, when they are known, of frequent pairs of words."""
+    often = _lists(right) if len(right) else {}
+    hashes = np.frombuffer(left["hashes"].iloc[0], dtype=np.uint64)
+    seq = unpacked(left["seq"].iloc[0])
+    if SHORTEST in often:
+        words, linked = links(seq)
+        pairs = np.stack([words[:-1], words[1:]], axis=1)
+        linked[1:] &= among(gram_hashes(pairs, hashes), often[SHORTEST])
+        seq = sequence(words, linked)
+    return ngram_counts(seq, hashes, often, depth)
 
-def _gram_counts(shard: Mapping, often: Mapping[int, np.ndarray], sizes: tuple[int, int], buckets: int) -> Iterator[dict]:
-    hashes = np.frombuffer(shard["hashes"], dtype=np.uint64)
-    for grams, counts in _ngrams(shard, often, sizes[1]):
-        if grams.shape[1] >= sizes[0]:
-            yield from _spread(shard["shard"], grams.shape[1], gram_hashes(grams, hashes), counts, buckets)
-
-
-def _narrowed(narrow: Callable, size: int, buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """A shard's narrower runs, and beside them the counts of its n-grams of ``size`` words."""
 
+def _gram_counts(sizes: tuple[int, int], buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
-        if len(left) and len(right):  # a shard without frequent n-grams one shorter has none of these
-            shard = narrow(left.iloc[0], _lists(right))
-            rows = [{**shard, "bucket": -1, "level": 0}, *_gram_counts(shard, {}, (size, size), buckets)]
-        return pd.DataFrame([[row.get(c) for c in COLUMNS] for row in rows], columns=COLUMNS, dtype=object)  # None stays None
-
-    return run
-
-
-def _longest(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame]:
-    """Counts of the n-grams of four words and more."""
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = list(_gram_counts(left.iloc[0], _lists(right), (4, DEPTH), buckets)) if len(left) and len(right) else []
+        # a shard without frequent n-grams one shorter has none of these
+        if len(left) and (sizes[0] == SHORTEST or (len(right) and (right["level"] == sizes[0] - 1).any())):
+            hashes = np.frombuffer(left["hashes"].iloc[0], dtype=np.uint64)
+            for grams, counts in _index(left, right, sizes[1]):
+                if grams.shape[1] >= sizes[0]:
+                    rows += _spread(int(left["shard"].iloc[0]), grams.shape[1], gram_hashes(grams, hashes), counts, buckets)
         return pd.DataFrame(rows, columns=["bucket", "level", "shard", "keys", "counts"])
 
     return run
@@ -406,11 +412,11 @@ def _phrases(buckets: int) -> Callable[[pd.DataFrame, pd.DataFrame], pd.DataFram
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(left):
-            shard, often = left.iloc[0], _lists(right) if len(right) else {}
+            shard = left.iloc[0]
             hashes, lang_of = np.frombuffer(shard["hashes"], dtype=np.uint64), unpacked(shard["lang_of"])
             words = np.array(["", *shard["words"]], dtype=object)
             singles = (np.arange(1, len(words))[:, None], unpacked(shard["counts"]))
-            for grams, counts in [singles, *_ngrams(shard, often, max(often, default=SHORTEST))]:
+            for grams, counts in [singles, *(_index(left, right, int(right["level"].max())) if len(right) else ())]:
                 if grams is not singles[0] and grams.shape[1] < SHORTEST:
                     continue
                 text = words[grams[:, 0]]
@@ -454,18 +460,15 @@ def phrase_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
 
     dictionaries = shards.select("shard", "langs", "words", "lengths", "lang_of", "counts")
     words = frequent(dictionaries.mapInPandas(_word_counts(buckets), PACKED), "phrases_often_1")
-
-    def narrowed(left: DataFrame, lists: DataFrame, narrow: Callable, size: int) -> tuple[DataFrame, DataFrame]:
-        both = stored(
-            left.groupBy("shard").cogroup(lists.groupBy("shard")).applyInPandas(_narrowed(narrow, size, buckets), BOTH), f"phrases_runs_{size}"
+    runs = stored(
+        shards.drop("totals").groupBy("shard").cogroup(words.groupBy("shard")).applyInPandas(_runs, RUNS), "phrases_runs"
+    )
+    often = words.limit(0)
+    for sizes in ROUNDS:
+        counted = runs.select("shard", "seq", "hashes").groupBy("shard").cogroup(often.groupBy("shard")).applyInPandas(
+            _gram_counts(sizes, buckets), PACKED
         )
-        counted = both.filter(F.col("bucket") >= 0).select("bucket", "level", "shard", "keys", "counts")
-        return both.filter(F.col("bucket") < 0).select(*COLUMNS[:7]), frequent(counted, f"phrases_often_{size}")
-
-    runs, pairs = narrowed(shards.drop("totals"), words, _frequent_words, 2)
-    runs, often = narrowed(runs, pairs, _frequent_pairs, 3)
-    longest = runs.select("shard", "seq", "hashes").groupBy("shard").cogroup(often.groupBy("shard")).applyInPandas(_longest(buckets), PACKED)
-    often = often.unionByName(frequent(longest, "phrases_often_4"))
+        often = often.unionByName(frequent(counted, f"phrases_often_{sizes[0]}"))
     text = runs.groupBy("shard").cogroup(often.groupBy("shard")).applyInPandas(_phrases(buckets), TEXTS)
     return stored(text.groupBy("bucket", "lang").applyInPandas(_totals(least), GRAMS), "phrases_counts"), n
 
