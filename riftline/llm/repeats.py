@@ -30,7 +30,7 @@ from riftline.llm.shared import stored
 
 _CONTENT, _OTHER = 0x2545F4914F6CDD1D, 0xD1342543DE82EF95
 _LOW = np.uint64(0xFFFFFFFF)
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10  # a byte is a token, and some fifteen arrays of 8 bytes a token are held at once: some 60 MB
 
 
 @dataclass(frozen=True)

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -85,6 +87,26 @@ def test_copies_travel_once(spark, frame):
     assert sizes[0] == sizes[1]
 
 
+def test_listing_bytes_holds_a_small_block():
+    """What a worker holds while it lists the super-k-mers of a batch follows the block, not the batch."""
+
+    class Rows:
+        def mapInArrow(self, run, schema):
+            return run
+
+    draw = np.random.default_rng(7)
+    texts = ["".join(map(chr, row)) for row in draw.integers(97, 123, (4000, 1000))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["rid", "text"])
+    tracemalloc.start()
+    try:
+        found = sum(part.num_rows for part in repeats.list_super_kmers(Rows(), repeats.Unit("bytes", 200, 40))(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert found > len(texts)
+    assert peak < 100 << 20
+
+
 # ---------------------------------------------------------------- SimHash
 
 def plain_fingerprint(text):
