@@ -1,9 +1,12 @@
 import datetime as dt
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from riftline.operators import clean
+from riftline.operators import clean, clusters
 from riftline.operators.clusters import cluster_aggregate, rule_cluster_reduce
 
 
@@ -169,3 +172,38 @@ def test_rows_are_dealt_by_their_number(frame, monkeypatch):
 
 def kept_rows(df):
     return sorted(tuple(map(str, r)) for r in df.collect())
+
+
+def test_many_groups_cluster_as_one_by_one():
+    draw = np.random.default_rng(4)
+    k = draw.integers(1, 7, 400)
+    size = k + draw.integers(0, 30, len(k))
+    first = np.r_[0, np.cumsum(size)]
+    points = draw.integers(-3, 4, (first[-1], 3)).astype(float)
+    want = [clusters.lloyd(points[a:b], n) for a, b, n in zip(first, first[1:], k)]
+    assert np.array_equal(clusters.lloyd_groups(points, first, k), np.concatenate(want))
+
+
+def test_small_commits_share_a_call(frame, monkeypatch):
+    """Commits are clustered many at a time, beside values out of range; rows without a commit go, as before."""
+    rows = [(n, None if n % 40 < 9 else f"c{n % 40}", 20.0, float(n % 7), float(n // 80)) for n in range(800)]
+    rows += [(n, "odd", 20.0, float("inf") if n % 2 else 1.0, 1e200) for n in range(800, 820)] + [(900, "small", 3.0, 0.0, 0.0)]
+    df = frame(rows, "id int, hash string, changed_file_count double, x double, y double").withColumn("contains_bug", F.lit(True))
+    out = rule_cluster_reduce(df, **OPTIONS).groupBy("hash").count().collect()
+    assert {r.hash: r["count"] for r in out if r.hash != "odd"} == {**{f"c{n}": 3 for n in range(9, 40)}, "small": 1}
+    calls = []
+    monkeypatch.setattr(clusters, "lloyd", lambda points, k, rounds: calls.append(1) or np.zeros(len(points), dtype=int))
+
+    class Rows:
+        schema = T.StructType([])
+
+        def __getattr__(self, name):
+            return lambda *a, **k: a[0] if name == "mapInArrow" else self
+
+    run = clusters._cluster_small(Rows(), ["hash"], ["id"], 300, 50)
+    batch = pa.RecordBatch.from_pylist([{"id": n, "hash": f"c{n // 10}", "_x": [float(n % 10)], "_k": 2} for n in range(200)])
+    parts = [p for at in range(0, 200, 45) for p in [batch.slice(at, 45)]]
+    made = pa.Table.from_batches(list(run(iter(parts)))).sort_by("id")
+    assert not calls and made.column("id").to_pylist() == list(range(200))
+    one = made.column("_cluster").to_pylist()[:10]
+    assert made.column("_cluster").to_pylist() == one * 20 and set(one) == {0, 1}
