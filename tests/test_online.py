@@ -1,9 +1,13 @@
+import threading
+from functools import partial
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from riftline.functions.folds import normal
 from riftline.operators import models, online
+from riftline.session import at_once
 from riftline.streaming.live import LiveLogistic, delayed_label_stream
 
 
@@ -77,6 +81,29 @@ def test_retrain_by_fits(timeline):
     assert [r[0] for r in out.groupBy("learned").count().orderBy("learned").collect()] == [0, 20, 40]
 
 
+def test_refits_of_few_rows_are_one_task_each(timeline):
+    train, test = timeline.filter("id < 100").repartition(7), timeline.filter("id >= 100")
+    parts = []
+
+    def fit(rows):
+        parts.append(rows.rdd.getNumPartitions())
+        return models.fit_logistic(rows, cols=["a", "b"], label="y", maxIter=5)
+
+    out = online.online_retrain_batched(train, test, fit=fit, frequency=20, **GIVEN)
+    assert sorted(r.i for r in out.collect()) == list(range(60)) and parts == [1, 1, 1]
+
+
+def test_jobs_at_once(spark):
+    """Two jobs that wait for each other end, and results keep their order."""
+    meet = threading.Barrier(2, timeout=60)
+
+    def job(n):
+        meet.wait()
+        return spark.range(n).count()
+
+    assert at_once(spark, (partial(job, n) for n in (3, 5)), 2) == [3, 5]
+
+
 def by_hand(rows, weights, batches, rate):
     states = []
     for part in batches:
