@@ -93,6 +93,36 @@ def test_refits_of_few_rows_are_one_task_each(timeline):
     assert sorted(r.i for r in out.collect()) == list(range(60)) and parts == [1, 1, 1]
 
 
+@pytest.mark.parametrize("settings", [{"regParam": 0.01, "maxIter": 20}, {"maxIter": 3}, {"regParam": 0.1, "tol": 1e-9}])
+def test_logistic_refits_together(spark, timeline, settings):
+    """All refits of a logistic regression give the scores of separate fits, in jobs that do not grow with the refits."""
+    rows = timeline.select("*", F.lit(0.1).alias("flat"), (F.col("b") * 1000 + 5).alias("wide"))
+    train, test = rows.filter("id < 100").repartition(3), rows.filter("id >= 100")
+    cols = ["a", "flat", "b", "wide"] if "regParam" in settings else ["a", "b"]
+    given = {**GIVEN, "cols": cols, "frequency": 1}
+    fit = partial(models.fit_logistic, cols=cols, label="y", **settings)
+    spark.sparkContext.setJobGroup("together", "refits")
+    got = online.online_retrain_batched(train, test, fit=fit, **given).orderBy("i").collect()
+    spark.sparkContext.setJobGroup("after", "others")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("together")) < 150
+    assert [r.i for r in got] == list(range(60)) and len({r.learned for r in got}) == 51
+    for r in got[::19]:
+        known = train.unionByName(test.filter(F.col("id") < 100 + r.learned))
+        alone = fit(known.coalesce(1)).score(test.filter(F.col("id") == 100 + r.i)).first()
+        assert (r.label, r.prediction) == (alone.y, alone.prediction) and r.score == pytest.approx(alone.score, abs=1e-10)
+
+
+def test_logistic_refits_of_one_class(timeline):
+    """A model that has seen one class only predicts that class, as a separate fit does."""
+    train, test = timeline.filter("id < 100 AND y = 1"), timeline.filter("id >= 100")
+    fit = partial(models.fit_logistic, cols=["a", "b"], label="y", regParam=0.01)
+    got = online.online_retrain_batched(train, test, fit=fit, frequency=20, **GIVEN).collect()
+    assert {r.learned for r in got} == {0, 20, 40} and {r.score for r in got if not r.learned} == {1.0}
+    one = next(r for r in got if r.learned == 40)
+    alone = fit(train.unionByName(test.filter("id < 140"))).score(test.filter(F.col("id") == 100 + one.i)).first()
+    assert one.score == pytest.approx(alone.score, abs=1e-10)
+
+
 def test_jobs_at_once(spark):
     """Two jobs that wait for each other end, and results keep their order."""
     meet = threading.Barrier(2, timeout=60)
