@@ -207,3 +207,75 @@ def test_small_commits_share_a_call(frame, monkeypatch):
     assert not calls and made.column("id").to_pylist() == list(range(200))
     one = made.column("_cluster").to_pylist()[:10]
     assert made.column("_cluster").to_pylist() == one * 20 and set(one) == {0, 1}
+
+
+def changes(frame, rows):
+    df = frame(rows, "hash int, project string, file string, class string, type string, contains_bug boolean, "
+                     "author_date_unix_timestamp long, la double, ld double, wmc double, rfc double, totalFieldsQty double")
+    return df.withColumn("author_date_unix_timestamp", F.timestamp_seconds("author_date_unix_timestamp"))
+
+
+def some_changes(frame):
+    return changes(frame, [
+        (None if n % 17 == 3 else n, None if n % 13 == 5 else f"p{n % 2}", f"src/{'UserType' if n % 7 == 0 else 'A'}.java",
+         None if n % 11 == 0 else f"C{n % 5}", "deleted" if n % 6 == 1 else "class", None if n % 4 == 0 else n % 3 == 0,
+         None if n % 19 == 2 else 1_700_000_000 + n * 3600, float("nan") if n % 6 == 0 else float(n % 5),
+         None if n % 6 == 4 else float(n % 2), float(n % 4), float(n % 3), float(n % 3))
+        for n in [*range(90), *range(25), *range(7)]
+    ])
+
+
+@pytest.mark.parametrize("project", ["project", None])
+def test_counts_equal_the_rules_one_by_one(frame, project):
+    df = some_changes(frame)
+    for rules in ((0, 2, 3, 5, 11, 1, 8), (2, 5, 8), (5, 1, 10, 2), (0, 0, 5, 2), (0,), (0, 5, 0, 2, 11), (3, 0, 2)):
+        config = clean.CleanConfig(rules=rules, project=project, tie=("hash", "file"), gap_recent=40 * 3600, gap_deleted=9 * 3600)
+        steps, table, want = clean._steps(config, df.columns), df, [(0, None, 122, None)]
+        for at, number in enumerate(rules, 1):
+            table = steps[number](table)
+            n = table.count()
+            want.append((at, number, n, want[-1][2] - n))
+        for dealt in (False, True):
+            got = clean.clean_counts(df, config=config, dealt=dealt).orderBy("step")
+            assert [tuple(r) for r in got.collect()] == want
+    assert got.dtypes == [("step", "int"), ("rule", "int"), ("rows", "bigint"), ("dropped", "bigint")]
+
+
+def test_counts_read_the_rows_once(spark, frame):
+    """The chain is not computed anew for every rule that compares rows: a pass to deal the rows, and one to count them."""
+    df = some_changes(frame).coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    config = clean.CleanConfig(rules=(0, 2, 3, 5, 1, 8), project="project", tie=("hash", "file"), gap_recent=40 * 3600)
+    clean.clean_counts(df.mapInArrow(watch, df.schema), config=config).collect()
+    assert seen.value == 2 * 122
+
+
+def test_changes_stay_where_their_order_is(spark, tmp_path, monkeypatch):
+    """Dealt by its order, a table moves once: the view's groups, its join and equal changes need no other shuffle of wide rows."""
+    from riftline.plans import bindings
+
+    monkeypatch.setattr(bindings, "ROWS_PER_TASK", 50)
+    spark.range(400).selectExpr(
+        "if(id % 40 = 7, null, id % 90) AS l_orderkey", "id % 31 AS l_partkey", "cast(id % 5 AS int) AS l_linenumber",
+        "cast(id % 9 AS double) AS l_quantity", "if(id % 3 = 0, 'A', 'N') AS l_returnflag", "if(id % 2 = 0, 'F', 'O') AS l_linestatus",
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.range(100).selectExpr(
+        "id % 80 AS o_orderkey", "id % 6 AS o_custkey", "if(id % 4 = 0, 'F', 'P') AS o_orderstatus",
+        "timestamp_seconds(1700000000 + id % 80 * 3600) AS o_orderdate", "concat('p', id % 2) AS o_orderpriority",
+    ).write.parquet(f"{tmp_path}/orders.parquet")
+    data = bindings.Data(spark, str(tmp_path))
+    plain, dealt = data.view(bindings.CHANGES), data.view(bindings.CHANGES, lineitem="l_orderkey")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, dealt.collect()))
+    for limit in ("-1", "10MB"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            done = clean.rule_dedupe(dealt, copies="n")._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert done.count("Exchange hashpartitioning(") == (2 if limit == "-1" else 1)
