@@ -279,3 +279,19 @@ def test_changes_stay_where_their_order_is(spark, tmp_path, monkeypatch):
         finally:
             spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         assert done.count("Exchange hashpartitioning(") == (2 if limit == "-1" else 1)
+
+
+def test_rows_before_the_clusters_are_computed_once(spark, frame):
+    df = commits(frame, {"small": (2.0, 1), "also": (3.0, 1), "big": (20.0, 9)}).withColumns(
+        {"la": F.lit(1.0), "project": F.lit("p"), "class": F.lit("c")}
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def watch(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    config = clean.CleanConfig(rules=(5, 15), project="project", tie=("hash", "id"), features=["x", "y"], info=["id"])
+    out = clean.clean_dataset(df.coalesce(1).mapInArrow(watch, df.schema), config=config)
+    assert out.count() == 4 and seen.value == 11
