@@ -105,7 +105,7 @@ def test_logistic_refits_together(spark, timeline, settings):
     got = online.online_retrain_batched(train, test, fit=fit, **given).orderBy("i").collect()
     spark.sparkContext.setJobGroup("after", "others")
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("together")) < 150
-    assert [r.i for r in got] == list(range(60)) and len({r.learned for r in got}) == 51
+    assert [r.i for r in got] == list(range(60)) and len({r.learned for r in got}) == 50
     for r in got[::19]:
         known = train.unionByName(test.filter(F.col("id") < 100 + r.learned))
         alone = fit(known.coalesce(1)).score(test.filter(F.col("id") == 100 + r.i)).first()
